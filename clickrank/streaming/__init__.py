@@ -1,0 +1,6 @@
+"""Streaming.
+
+The pipeline this library reproduces is batch only: events are read with
+``spark.read`` and there are no watermarks, windows over event time or
+stateful operators to carry over.  Nothing lives here on purpose.
+"""
