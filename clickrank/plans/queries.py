@@ -273,18 +273,18 @@ def q_cooc_recs(spark, sf):
 
 def q_per_user_metrics(spark, sf):
     tt = split(spark, sf, "orders")
-    return metrics_out(per_user_metrics(recommend_popular(tt.train, K), tt.relevant, K))
+    return metrics_out(per_user_metrics(recommend_popular(tt.train, K).persist(), tt.relevant, K))
 
 
 def q_evaluate_popularity(spark, sf):
     tt = split(spark, sf, "orders")
-    return metrics_out(evaluate_recommendations(recommend_popular(tt.train, K), tt.relevant,
+    return metrics_out(evaluate_recommendations(recommend_popular(tt.train, K).persist(), tt.relevant,
                                                 catalog_size(tt.train), K))
 
 
 def q_evaluate_cooccurrence(spark, sf):
     tt = split(spark, sf, "orders")
-    return metrics_out(evaluate_recommendations(recommend_cooccurrence(tt.train, K), tt.relevant,
+    return metrics_out(evaluate_recommendations(recommend_cooccurrence(tt.train, K).persist(), tt.relevant,
                                                 catalog_size(tt.train), K))
 
 
@@ -294,7 +294,7 @@ def _als(spark, sf, exclude_seen=True):
     tt = split(spark, sf, "events")
     recs, _ = recommend_als(tt.train, tt.relevant.select("visitorid"), K, exclude_seen=exclude_seen,
                             **ALS_PARAMS)
-    return tt, recs
+    return tt, recs.persist()
 
 
 def q_als_recs(spark, sf):
