@@ -324,8 +324,7 @@ FROM clean c JOIN bk b ON c.visitorid = b.visitorid WHERE b.bucket < 2500 GROUP
     q["relevant_fallback"] = _with(_base("orders", relevant="('no_such_event')")) + \
         "SELECT visitorid, itemid, (SELECT count(*) = 0 FROM rel1) AS used_fallback FROM rel"
     q["user_history"] = _with(_base("orders")) + """
-SELECT visitorid, count(*) AS n_items, array_to_string(list_sort(list(itemid)), ',') AS items
-FROM train GROUP BY visitorid"""
+SELECT visitorid, itemid, count(*) OVER (PARTITION BY visitorid) AS n_items FROM train"""
     q["distinct_counts"] = _with(_base("orders")) + """
 SELECT count(*) AS train_rows, count(DISTINCT visitorid) AS train_users, count(DISTINCT itemid) AS train_items,
   (SELECT count(*) FROM test) AS test_rows, (SELECT count(DISTINCT visitorid) FROM rel) AS relevant_users,
@@ -380,7 +379,7 @@ SELECT 'events_clean' AS table_name, (SELECT count(*) FROM clean) AS rows
 UNION ALL SELECT 'interactions', (SELECT count(*) FROM inter)
 UNION ALL SELECT 'train_interactions', (SELECT count(*) FROM train)
 UNION ALL SELECT 'test_interactions', (SELECT count(*) FROM test)
-UNION ALL SELECT 'test_relevant_items', (SELECT count(DISTINCT visitorid) FROM rel)
+UNION ALL SELECT 'test_relevant_items', (SELECT count(*) FROM rel)
 UNION ALL SELECT 'popularity_lists', (SELECT count(DISTINCT visitorid) FROM train)
 UNION ALL SELECT 'dataset_profile', 1"""
     return q

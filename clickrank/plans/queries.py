@@ -24,7 +24,7 @@ from clickrank.operators.cooccurrence import (
     top_similar,
 )
 from clickrank.operators.evaluate import catalog_size, evaluate_recommendations, per_user_metrics
-from clickrank.operators.interactions import aggregate_interactions, deterministic_user_sample, history_arrays
+from clickrank.operators.interactions import aggregate_interactions, deterministic_user_sample, user_histories
 from clickrank.operators.popularity import popular_candidates, recommend_popular
 from clickrank.operators.profile import dataset_profile
 from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, cutoff_rank, exact_cutoff
@@ -206,10 +206,10 @@ def q_relevant_fallback(spark, sf):
 
 
 def q_user_history(spark, sf):
-    train = split(spark, sf, "orders").train
-    return history_arrays(train).select(
-        "visitorid", F.size("seen_items").alias("n_items"),
-        F.array_join(F.sort_array("seen_items"), ",").alias("items"))
+    """A5 in long form: each distinct train pair with the size of its user's history."""
+    hist = user_histories(split(spark, sf, "orders").train)
+    sizes = hist.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n_items"))
+    return hist.join(sizes, "visitorid").select("visitorid", "itemid", "n_items")
 
 
 def q_distinct_counts(spark, sf):
