@@ -34,17 +34,25 @@ def _hit_stats(recs: RecList, relevant: DataFrame, k: int) -> DataFrame:
     return ranks.select("visitorid", F.size("hit_ranks").alias("hits"), ap_sum.alias("ap_sum"), dcg.alias("dcg"))
 
 
-def per_user_metrics(recs: RecList, relevant: DataFrame, k: int) -> DataFrame:
+def per_user_metrics(recs: RecList, relevant: DataFrame, k: int, population: str = "listed") -> DataFrame:
     """E1-E4 per evaluated user: (visitorid, precision_at_k, recall_at_k, map_at_k, ndcg_at_k).
 
-    ``relevant`` holds distinct (visitorid, itemid) pairs.
+    ``relevant`` holds distinct (visitorid, itemid) pairs.  ``population``:
+    ``listed`` (the reference) evaluates users that received a list and have
+    relevant items; ``all_relevant`` evaluates every user with relevant items
+    and scores a missing list as 0, so models are averaged over the same users.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     sizes = relevant.groupBy("visitorid").agg(
         F.count(F.lit(1)).alias("n_relevant")
     )
-    users = recs.users.join(sizes, "visitorid").where(F.col("n_relevant") > 0)
+    if population == "listed":
+        users = recs.users.join(sizes, "visitorid").where(F.col("n_relevant") > 0)
+    elif population == "all_relevant":
+        users = sizes.where(F.col("n_relevant") > 0)
+    else:
+        raise ValueError(f"unknown population {population!r}")
     stats = users.join(_hit_stats(recs, relevant, k), "visitorid", "left").fillna(
         {"hits": 0, "ap_sum": 0.0, "dcg": 0.0}
     )
@@ -71,13 +79,14 @@ def coverage(recs: RecList, catalog_items: Column | int) -> Column:
     return F.when(catalog > 0, distinct_items / catalog).otherwise(F.lit(0.0))
 
 
-def evaluate_recommendations(recs: RecList, relevant: DataFrame, catalog_items: Column | int, k: int) -> DataFrame:
+def evaluate_recommendations(recs: RecList, relevant: DataFrame, catalog_items: Column | int, k: int,
+                             population: str = "listed") -> DataFrame:
     """E5: one row with the four averaged metrics, coverage and the number of users.
 
     The coverage and catalogue counts are scalar subqueries, so the whole
-    evaluation is one lazy query.
+    evaluation is one lazy query.  Coverage always spans every list.
     """
-    metrics = per_user_metrics(recs, relevant, k)
+    metrics = per_user_metrics(recs, relevant, k, population)
     p, r, ap, nd = metric_columns(k)
     aggregated = metrics.agg(
         *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in (p, r, ap, nd)],
