@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickrank.operators.reclist import RecList
+from clickrank.operators.skew import hot_keys, salted_join
 
 
 def capped_histories(train: DataFrame, max_items: int) -> DataFrame:
@@ -29,11 +30,9 @@ def capped_histories(train: DataFrame, max_items: int) -> DataFrame:
     join; a long history is streamed past, never buffered.
     """
     pairs = train.select("visitorid", "itemid")
-    keep = (
-        pairs.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") <= max_items).select("visitorid")
-    )
-    return pairs.join(keep, "visitorid", "left_semi")
+    sizes = pairs.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n"))
+    keep = sizes.where(F.col("n") <= max_items).select("visitorid")
+    return salted_join(pairs, keep, "visitorid", "left_semi", hot=hot_keys(sizes, "visitorid"))
 
 
 def pair_support_half(train: DataFrame, max_items: int = 100) -> DataFrame:
@@ -71,12 +70,12 @@ def candidate_scores(train: DataFrame, neighbours: DataFrame) -> DataFrame:
     The seen-item test depends only on the group key, so it is applied after
     the aggregate as an anti join on (visitorid, candidate) = (visitorid,
     itemid); the aggregate's hash partitioning already satisfies that join.
-    A hot item in the history-neighbour join is split by AQE's skew handling
-    (or the neighbour table is broadcast when its runtime size allows).
+    The neighbour lists arrive partitioned by item, so AQE cannot split a hot
+    item there; hot items are salted instead (``salted_join``).
     """
     history = train.select("visitorid", "itemid")
     scores = (
-        history.join(neighbours, "itemid")
+        salted_join(history, neighbours, "itemid", "inner")
         .groupBy("visitorid", "candidate_itemid")
         .agg(F.sum("similarity").alias("score"))
     )
