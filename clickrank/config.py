@@ -34,3 +34,4 @@ class RecConfig:
     partitions: tuple[int, ...] = (2, 4, 8, 16)
     models: tuple[str, ...] = ("popularity", "cooccurrence", "als")
     cutoff_method: str = "exact"  # or "approx" (approxQuantile, partition dependent)
+    keep: str = "persist"  # how reused tables are kept: persist | checkpoint | none

@@ -73,7 +73,7 @@ def split(spark: SparkSession, sf_dir: str, fixture: str, config: RecConfig = DE
     return build_train_test(
         clean(spark, sf_dir, fixture), config.train_ratio, config.use_log_score, config.min_user_interactions,
         config.min_item_interactions, config.relevant_events, config.fallback_relevant_events,
-        config.cutoff_method,
+        config.cutoff_method, config.keep,
     )
 
 

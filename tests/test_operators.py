@@ -121,3 +121,14 @@ def test_als_repeatable_and_unseen(spark, split):
     assert a == b and a
     assert first.long.join(split.train, ["visitorid", "itemid"]).count() == 0
     assert first.long.join(users, "visitorid", "left_anti").count() == 0
+
+
+def test_checkpoint_keep_mode_gives_same_split(spark):
+    ev = clean_events(orders_fixture(spark, SF_SMALL))
+    kept = build_train_test(ev, keep="persist")
+    cut = build_train_test(ev, keep="checkpoint")
+    assert kept.cutoff == cut.cutoff
+    assert sorted(map(tuple, kept.train.select("visitorid", "itemid").collect())) == \
+        sorted(map(tuple, cut.train.select("visitorid", "itemid").collect()))
+    assert kept.relevant.count() == cut.relevant.count()
+    kept.release()
