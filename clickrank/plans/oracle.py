@@ -353,6 +353,9 @@ FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"
     q["evaluate_cooccurrence"] = _with(_base("orders"), _cooc("", "train"),
                                        _evaluate("", "recs", "users", "rel", "train")) + \
         "SELECT " + _metrics_select() + " FROM eval"
+    q["evaluate_cooccurrence_all_relevant"] = _with(
+        _base("orders"), _cooc("", "train"), "allrel AS (SELECT DISTINCT visitorid FROM rel)",
+        _evaluate("", "recs", "allrel", "rel", "train")) + "SELECT " + _metrics_select() + " FROM eval"
     q["als_invariants"] = ("SELECT 0::BIGINT AS seen_violations, 0::BIGINT AS over_k, 0::BIGINT AS rank_gaps, "
                            "0::BIGINT AS outside_subset")
     # experiments

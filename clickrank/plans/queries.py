@@ -288,6 +288,13 @@ def q_evaluate_cooccurrence(spark, sf):
                                                 catalog_size(tt.train), K))
 
 
+def q_evaluate_cooccurrence_all_relevant(spark, sf):
+    """E5 with every relevant user in the denominator (a user without a list scores 0)."""
+    tt = split(spark, sf, "orders")
+    return metrics_out(evaluate_recommendations(recommend_cooccurrence(tt.train, K).persist(), tt.relevant,
+                                                catalog_size(tt.train), K, population="all_relevant"))
+
+
 # --- ALS (no SQL oracle) --------------------------------------------------------------
 
 def _als(spark, sf, exclude_seen=True):
