@@ -7,8 +7,10 @@ sets per user), so a key holding a third of all rows would still be joined
 in one task.  ``salted_join`` spreads such keys explicitly and exactly:
 
 * ``hot_keys`` finds the keys whose row count exceeds a share of all rows
-  (default 1 / (2 * shuffle partitions)); there are at most 1/share of them,
-  so the list that comes back to the driver is bounded.
+  (default 1 / (2 * shuffle partitions)) and an absolute floor
+  (``spark.clickrank.skew.minHotRows``, default one million rows: below that
+  a key is never a straggler worth splitting); there are at most 1/share of
+  them, so the list that comes back to the driver is bounded.
 * big-side rows of a hot key get a deterministic salt in [0, salts)
   (a hash of their own columns, so a retried task salts identically); the
   small-side rows of a hot key are repeated once per salt; all other rows
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 SALT = "_salt"
 SALTING_CONF = "spark.clickrank.skew.salting"
+MIN_HOT_ROWS_CONF = "spark.clickrank.skew.minHotRows"
+DEFAULT_MIN_HOT_ROWS = 1_000_000
 
 
 def salting_enabled(df: DataFrame) -> bool:
@@ -34,12 +38,15 @@ def _partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def hot_keys(counts: DataFrame, key: str, count_col: str = "n", share: float | None = None) -> list:
-    """Keys of a (key, count) table holding more than ``share`` of all counted rows."""
+def hot_keys(counts: DataFrame, key: str, count_col: str = "n", share: float | None = None,
+             min_rows: int | None = None) -> list:
+    """Keys of a (key, count) table holding more than ``share`` of all counted rows (and ``min_rows``)."""
     share = share if share is not None else 1.0 / (2 * _partitions(counts))
+    if min_rows is None:
+        min_rows = int(counts.sparkSession.conf.get(MIN_HOT_ROWS_CONF, str(DEFAULT_MIN_HOT_ROWS)))
     total = counts.select(F.sum(count_col)).scalar()
     hot = (
-        counts.where(F.col(count_col) > total * F.lit(share))
+        counts.where((F.col(count_col) > total * F.lit(share)) & (F.col(count_col) > F.lit(min_rows)))
         .select(key)
         .limit(int(1 / share) + 1)  # cannot bind: at most 1/share keys exceed the share
         .collect()

@@ -28,6 +28,7 @@ def test_hot_item_join_is_split(spark):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.sql.shuffle.partitions": "16",
+        "spark.clickrank.skew.minHotRows": "10",
     }
     old = {k: spark.conf.get(k, None) for k in conf}
     try:
@@ -77,7 +78,8 @@ def test_salted_join_equals_plain_join(spark):
 
     big = spark.createDataFrame([(k if i % 3 else 7, i) for i, k in enumerate(range(300))], "k int, v int")
     small = spark.createDataFrame([(7, "a"), (7, "b"), (5, "c"), (400, "d")], "k int, w string")
-    hot = hot_keys(key_counts(big, "k"), "k")
+    assert hot_keys(key_counts(big, "k"), "k") == []  # below the absolute floor
+    hot = hot_keys(key_counts(big, "k"), "k", min_rows=10)
     assert hot == [7]
     for how in ("inner", "left_semi", "left_anti"):
         plain = sorted(tuple(r) for r in big.join(small, "k", how).collect())
