@@ -67,20 +67,26 @@ def top_similar(similarities: DataFrame, top_n: int = 50) -> DataFrame:
 def candidate_scores(train: DataFrame, neighbours: DataFrame) -> DataFrame:
     """J4 + A8 + P17: summed similarity per (visitorid, candidate) for unseen candidates.
 
-    The seen-item test depends only on the group key, so it is applied after
-    the aggregate as an anti join on (visitorid, candidate) = (visitorid,
-    itemid); the aggregate's hash partitioning already satisfies that join.
+    The seen-item test depends only on the group key, so it is folded into
+    the same aggregate: the user's own items are unioned in as "seen" marks
+    and a group survives only if no mark reached it.  One shuffle on
+    (visitorid, candidate) with map-side partial aggregation does both, where
+    an anti join would shuffle the un-aggregated join rows a second time.
     The neighbour lists arrive partitioned by item, so AQE cannot split a hot
     item there; hot items are salted instead (``salted_join``).
     """
     history = train.select("visitorid", "itemid")
-    scores = (
-        salted_join(history, neighbours, "itemid", "inner")
+    contributions = salted_join(history, neighbours, "itemid", "inner").select(
+        "visitorid", "candidate_itemid", "similarity", F.lit(0).alias("seen"))
+    marks = history.select("visitorid", F.col("itemid").alias("candidate_itemid"),
+                           F.lit(0).cast("long").alias("similarity"), F.lit(1).alias("seen"))
+    return (
+        contributions.unionByName(marks)
         .groupBy("visitorid", "candidate_itemid")
-        .agg(F.sum("similarity").alias("score"))
+        .agg(F.sum("similarity").alias("score"), F.max("seen").alias("seen"))
+        .where(F.col("seen") == 0)
+        .select("visitorid", "candidate_itemid", "score")
     )
-    seen = history.select("visitorid", F.col("itemid").alias("candidate_itemid"))
-    return scores.join(seen, ["visitorid", "candidate_itemid"], "left_anti")
 
 
 def rank_candidates(scores: DataFrame, k: int) -> DataFrame:
