@@ -46,7 +46,8 @@ def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True,
     if k <= 0:
         raise ValueError("k must be positive")
     n = max(k * candidate_multiplier, k)
-    cands = popular_candidates(train, n).select("cand_rank", "itemid")
+    # at most n rows, read by both joins below: computed once (one scan and shuffle of train)
+    cands = popular_candidates(train, n).select("cand_rank", "itemid").persist()
     n_cands = F.lit(n)
     pairs = train.select("visitorid", "itemid")
     if exclude_seen:
@@ -62,9 +63,10 @@ def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True,
         seen = pairs.select("visitorid").distinct()
         ranks = F.sequence(F.lit(1), F.lit(k))
         users = seen
-    # sequence(1, 0) counts down, so guard the empty-catalogue case via the candidate join below
+    # ranks beyond the number of existing candidates (small catalogue) find no partner in the
+    # join below; they sort after every real rank, so the kept positions stay dense from 1
     picked = seen.select("visitorid", F.posexplode(ranks).alias("pos", "cand_rank"))
     long = picked.join(_bounded(cands, n), "cand_rank").select(
         "visitorid", (F.col("pos") + 1).alias("rank"), "itemid"
     )
-    return RecList(long, users)
+    return RecList(long, users, (cands,))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 class RecList:
     long: DataFrame
     users: DataFrame
+    kept: tuple[DataFrame, ...] = ()  # persisted helper tables the lists are built from
 
     def arrays(self) -> DataFrame:
         """(visitorid, recommendations array ordered by rank); empty lists kept."""
@@ -34,11 +35,13 @@ class RecList:
         )
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> RecList:
-        return RecList(self.long.persist(level), self.users.persist(level))
+        return RecList(self.long.persist(level), self.users.persist(level), self.kept)
 
     def unpersist(self) -> None:
         self.long.unpersist()
         self.users.unpersist()
+        for df in self.kept:
+            df.unpersist()
 
 
 def from_arrays(lists: DataFrame, column: str = "recommendations") -> RecList:
