@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickrank.operators.reclist import RecList
-from clickrank.operators.skew import hot_keys, salted_join
+from clickrank.operators.skew import hot_keys, key_counts, salted_join
+
+# Neighbour tables of at most this many rows (items x top_n) may be broadcast.
+MAX_BROADCAST_NEIGHBOURS = 2_000_000
 
 
 def capped_histories(train: DataFrame, max_items: int) -> DataFrame:
@@ -64,20 +67,37 @@ def top_similar(similarities: DataFrame, top_n: int = 50) -> DataFrame:
     )
 
 
-def candidate_scores(train: DataFrame, neighbours: DataFrame) -> DataFrame:
+def candidate_scores(train: DataFrame, neighbours: DataFrame, top_n: int | None = None) -> DataFrame:
     """J4 + A8 + P17: summed similarity per (visitorid, candidate) for unseen candidates.
 
     The seen-item test depends only on the group key, so it is folded into
     the same aggregate: the user's own items are unioned in as "seen" marks
-    and a group survives only if no mark reached it.  One shuffle on
-    (visitorid, candidate) with map-side partial aggregation does both, where
-    an anti join would shuffle the un-aggregated join rows a second time.
-    The neighbour lists arrive partitioned by item, so AQE cannot split a hot
-    item there; hot items are salted instead (``salted_join``).
+    and a group survives only if no mark reached it (an anti join would
+    shuffle the un-aggregated join rows a second time).
+
+    Two physical shapes, chosen by checks:
+
+    * neighbour table provably small (``top_n`` given and distinct items x
+      top_n <= MAX_BROADCAST_NEIGHBOURS) and no hot user: the histories are
+      hash-partitioned by user once and joined to the broadcast neighbours;
+      the aggregate and the per-user top-k window then need no shuffle.
+    * otherwise: shuffle join on the item (hot items salted, since the
+      neighbour lists arrive partitioned by item and AQE cannot split them),
+      then one shuffle on (visitorid, candidate) with partial aggregation,
+      which also spreads a hot user's candidates.
     """
     history = train.select("visitorid", "itemid")
-    contributions = salted_join(history, neighbours, "itemid", "inner").select(
-        "visitorid", "candidate_itemid", "similarity", F.lit(0).alias("seen"))
+    small = False
+    if top_n is not None:
+        items = train.select(F.count_distinct("itemid")).first()[0]
+        small = items * top_n <= MAX_BROADCAST_NEIGHBOURS and not hot_keys(
+            key_counts(history, "visitorid"), "visitorid")
+    if small:
+        history = history.repartition("visitorid")
+        joined = history.join(F.broadcast(neighbours), "itemid")
+    else:
+        joined = salted_join(history, neighbours, "itemid", "inner")
+    contributions = joined.select("visitorid", "candidate_itemid", "similarity", F.lit(0).alias("seen"))
     marks = history.select("visitorid", F.col("itemid").alias("candidate_itemid"),
                            F.lit(0).cast("long").alias("similarity"), F.lit(1).alias("seen"))
     return (
@@ -105,5 +125,5 @@ def recommend_cooccurrence(train: DataFrame, k: int, max_items_per_user_for_pair
     if k <= 0:
         raise ValueError("k must be positive")
     neighbours = top_similar(pair_support(train, max_items_per_user_for_pairs), top_similar_items_per_item)
-    long = rank_candidates(candidate_scores(train, neighbours), k)
+    long = rank_candidates(candidate_scores(train, neighbours, top_similar_items_per_item), k)
     return RecList(long, long.where(F.col("rank") == 1).select("visitorid"))

@@ -262,7 +262,7 @@ def q_candidate_scores(spark, sf):
     train = split(spark, sf, "events").train
     neighbours = top_similar(pair_support(train, DEFAULT.max_items_per_user_for_pairs),
                              DEFAULT.top_similar_items_per_item)
-    return candidate_scores(train, neighbours)
+    return candidate_scores(train, neighbours, DEFAULT.top_similar_items_per_item)
 
 
 def q_cooc_recs(spark, sf):

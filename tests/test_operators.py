@@ -132,3 +132,14 @@ def test_checkpoint_keep_mode_gives_same_split(spark):
         sorted(map(tuple, cut.train.select("visitorid", "itemid").collect()))
     assert kept.relevant.count() == cut.relevant.count()
     kept.release()
+
+
+def test_candidate_scores_broadcast_and_shuffle_paths_agree(spark, split):
+    from clickrank.operators.cooccurrence import candidate_scores, top_similar
+
+    neighbours = top_similar(pair_support(split.train, 100), 50)
+    broadcast_path = candidate_scores(split.train, neighbours, 50)  # small catalogue, no hot user
+    shuffle_path = candidate_scores(split.train, neighbours)  # no size bound given
+    a = sorted(tuple(r) for r in broadcast_path.collect())
+    b = sorted(tuple(r) for r in shuffle_path.collect())
+    assert a == b and a
