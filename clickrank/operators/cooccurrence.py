@@ -26,7 +26,7 @@ from clickrank.operators.skew import hot_keys, key_counts, salted_join
 MAX_BROADCAST_NEIGHBOURS = 2_000_000
 
 
-def capped_histories(train: DataFrame, max_items: int) -> DataFrame:
+def capped_histories(train: DataFrame, max_items: int, rows_bound: int | None = None) -> DataFrame:
     """(visitorid, itemid) of users with at most ``max_items`` items.
 
     Sizes are counted per user (partial aggregation) and applied by a semi
@@ -35,21 +35,22 @@ def capped_histories(train: DataFrame, max_items: int) -> DataFrame:
     pairs = train.select("visitorid", "itemid")
     sizes = pairs.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n"))
     keep = sizes.where(F.col("n") <= max_items).select("visitorid")
-    return salted_join(pairs, keep, "visitorid", "left_semi", hot=hot_keys(sizes, "visitorid"))
+    return salted_join(pairs, keep, "visitorid", "left_semi",
+                       hot=hot_keys(sizes, "visitorid", rows_bound=rows_bound))
 
 
-def pair_support_half(train: DataFrame, max_items: int = 100) -> DataFrame:
+def pair_support_half(train: DataFrame, max_items: int = 100, rows_bound: int | None = None) -> DataFrame:
     """J5 + A7 on unordered pairs: (item_a < item_b, support)."""
-    capped = capped_histories(train, max_items)
+    capped = capped_histories(train, max_items, rows_bound)
     a = capped.select("visitorid", F.col("itemid").alias("item_a"))
     b = capped.select("visitorid", F.col("itemid").alias("item_b"))
     joined = a.join(b, "visitorid").where(F.col("item_a") < F.col("item_b"))
     return joined.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("similarity"))
 
 
-def pair_support(train: DataFrame, max_items: int = 100) -> DataFrame:
+def pair_support(train: DataFrame, max_items: int = 100, rows_bound: int | None = None) -> DataFrame:
     """A7 + P16: ordered (itemid, candidate_itemid, similarity), self-pairs excluded."""
-    half = pair_support_half(train, max_items)
+    half = pair_support_half(train, max_items, rows_bound)
     both = F.array(
         F.struct(F.col("item_a").alias("itemid"), F.col("item_b").alias("candidate_itemid"), "similarity"),
         F.struct(F.col("item_b").alias("itemid"), F.col("item_a").alias("candidate_itemid"), "similarity"),
@@ -67,7 +68,8 @@ def top_similar(similarities: DataFrame, top_n: int = 50) -> DataFrame:
     )
 
 
-def candidate_scores(train: DataFrame, neighbours: DataFrame, top_n: int | None = None) -> DataFrame:
+def candidate_scores(train: DataFrame, neighbours: DataFrame, top_n: int | None = None,
+                     rows_bound: int | None = None) -> DataFrame:
     """J4 + A8 + P17: summed similarity per (visitorid, candidate) for unseen candidates.
 
     The seen-item test depends only on the group key, so it is folded into
@@ -91,12 +93,12 @@ def candidate_scores(train: DataFrame, neighbours: DataFrame, top_n: int | None
     if top_n is not None:
         items = train.select(F.count_distinct("itemid")).first()[0]
         small = items * top_n <= MAX_BROADCAST_NEIGHBOURS and not hot_keys(
-            key_counts(history, "visitorid"), "visitorid")
+            key_counts(history, "visitorid"), "visitorid", rows_bound=rows_bound)
     if small:
         history = history.repartition("visitorid")
         joined = history.join(F.broadcast(neighbours), "itemid")
     else:
-        joined = salted_join(history, neighbours, "itemid", "inner")
+        joined = salted_join(history, neighbours, "itemid", "inner", rows_bound=rows_bound)
     contributions = joined.select("visitorid", "candidate_itemid", "similarity", F.lit(0).alias("seen"))
     marks = history.select("visitorid", F.col("itemid").alias("candidate_itemid"),
                            F.lit(0).cast("long").alias("similarity"), F.lit(1).alias("seen"))
@@ -124,6 +126,7 @@ def recommend_cooccurrence(train: DataFrame, k: int, max_items_per_user_for_pair
     """M2: users with no unseen candidate get no list."""
     if k <= 0:
         raise ValueError("k must be positive")
-    neighbours = top_similar(pair_support(train, max_items_per_user_for_pairs), top_similar_items_per_item)
-    long = rank_candidates(candidate_scores(train, neighbours, top_similar_items_per_item), k)
+    rows = train.count()  # bounds every per-key count below (cheap on a persisted train table)
+    neighbours = top_similar(pair_support(train, max_items_per_user_for_pairs, rows), top_similar_items_per_item)
+    long = rank_candidates(candidate_scores(train, neighbours, top_similar_items_per_item, rows), k)
     return RecList(long, long.where(F.col("rank") == 1).select("visitorid"))

@@ -39,11 +39,18 @@ def _partitions(df: DataFrame) -> int:
 
 
 def hot_keys(counts: DataFrame, key: str, count_col: str = "n", share: float | None = None,
-             min_rows: int | None = None) -> list:
-    """Keys of a (key, count) table holding more than ``share`` of all counted rows (and ``min_rows``)."""
+             min_rows: int | None = None, rows_bound: int | None = None) -> list:
+    """Keys of a (key, count) table holding more than ``share`` of all counted rows (and ``min_rows``).
+
+    ``rows_bound`` is a known upper bound on the counted rows (e.g. the event
+    count a table was derived from); when it is below ``min_rows`` no key can
+    be hot and no job runs.
+    """
     share = share if share is not None else 1.0 / (2 * _partitions(counts))
     if min_rows is None:
         min_rows = int(counts.sparkSession.conf.get(MIN_HOT_ROWS_CONF, str(DEFAULT_MIN_HOT_ROWS)))
+    if rows_bound is not None and rows_bound <= min_rows:
+        return []
     total = counts.select(F.sum(count_col)).scalar()
     hot = (
         counts.where((F.col(count_col) > total * F.lit(share)) & (F.col(count_col) > F.lit(min_rows)))
@@ -60,18 +67,19 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
                 hot: Sequence | None = None, salts: int | None = None,
-                salt_columns: Sequence[str] | None = None) -> DataFrame:
+                salt_columns: Sequence[str] | None = None, rows_bound: int | None = None) -> DataFrame:
     """``big.join(small, key, how)`` with the hot keys of ``big`` spread over ``salts`` tasks.
 
-    ``hot`` defaults to the hot keys of ``big`` (one extra aggregate job);
-    pass them when the counts are already known.
+    ``hot`` defaults to the hot keys of ``big`` (one extra aggregate job, or
+    none when ``rows_bound`` rules hot keys out); pass them when the counts
+    are already known.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"salted join supports inner, left_semi and left_anti, not {how!r}")
     if not salting_enabled(big):
         return big.join(small, key, how)
     if hot is None:
-        hot = hot_keys(key_counts(big, key), key)
+        hot = hot_keys(key_counts(big, key), key, rows_bound=rows_bound)
     if not hot:
         return big.join(small, key, how)
     salts = salts or _partitions(big)
