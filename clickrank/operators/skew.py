@@ -51,7 +51,7 @@ def hot_keys(counts: DataFrame, key: str, count_col: str = "n", share: float | N
         min_rows = int(counts.sparkSession.conf.get(MIN_HOT_ROWS_CONF, str(DEFAULT_MIN_HOT_ROWS)))
     if rows_bound is not None and rows_bound <= min_rows:
         return []
-    total = counts.select(F.sum(count_col)).scalar()
+    total = counts.select(F.sum(count_col)).scalar()  # scalar subquery: one job; NULL (no hot keys) if empty
     hot = (
         counts.where((F.col(count_col) > total * F.lit(share)) & (F.col(count_col) > F.lit(min_rows)))
         .select(key)

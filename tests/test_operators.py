@@ -143,3 +143,16 @@ def test_candidate_scores_broadcast_and_shuffle_paths_agree(spark, split):
     a = sorted(tuple(r) for r in broadcast_path.collect())
     b = sorted(tuple(r) for r in shuffle_path.collect())
     assert a == b and a
+
+
+def test_empty_inputs(spark):
+    from clickrank.operators.skew import hot_keys, key_counts
+
+    empty = spark.createDataFrame([], "visitorid int, itemid int, score double, event_count long, "
+                                      "last_event_ts timestamp")
+    assert hot_keys(key_counts(empty, "itemid"), "itemid", min_rows=0) == []
+    assert recommend_popular(empty, 5).long.count() == 0
+    assert recommend_cooccurrence(empty, 5).long.count() == 0
+    relevant = spark.createDataFrame([], "visitorid int, itemid int")
+    row = evaluate_recommendations(recommend_popular(empty, 5), relevant, catalog_size(empty), 5).first()
+    assert row.test_users == 0 and row.precision_at_5 == 0.0 and row.coverage == 0.0
