@@ -269,6 +269,7 @@ def _experiment_row(p: str, fixture_src: str, fraction: float, models=("populari
   (SELECT count(*) FROM {p}ev) AS input_rows,
   (SELECT count(DISTINCT visitorid) FROM {p}ev) AS users,
   (SELECT count(DISTINCT itemid) FROM {p}ev) AS items,
+  CAST(NULL AS INTEGER) AS partitions,
   (SELECT count(*) FROM {p}train) AS train_rows,
   (SELECT count(DISTINCT itemid) FROM {p}train) AS catalog_items,
   e.test_users AS test_users, 'popularity' AS model, 'popularity' AS best_model,
@@ -367,7 +368,8 @@ FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"
     q["scale_experiment"] = _with(*ctes) + "\nUNION ALL\n".join(selects)
     c, s = _experiment_row("q_", "clean", 0.25)
     q["partition_invariance"] = _with(_raw("orders"), _clean(), *c) + "\nUNION ALL\n".join(
-        f"SELECT {n} AS partitions, input_rows, precision, recall, map, ndcg, coverage FROM ({s}) x"
+        f"SELECT {n} AS partitions, {n} AS shuffle_partitions, input_rows, precision, recall, map, ndcg, coverage "
+        f"FROM ({s}) x"
         for n in (2, 4, 8, 16))
     metrics6 = ", ".join(f"round({m}, 6) AS {m}" for m in ("precision", "recall", "map", "ndcg", "coverage"))
     q["model_experiment"] = _model_rows() + (

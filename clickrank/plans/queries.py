@@ -348,13 +348,14 @@ EXPERIMENT_METRICS = ("precision", "recall", "map", "ndcg", "coverage")
 
 def q_scale_experiment(spark, sf):
     rows = scale_experiment(clean(spark, sf, "orders"), DEFAULT, models=("popularity",))
-    return rows.select("fraction", "input_rows", "users", "items", "train_rows", "catalog_items", "test_users",
-                       "model", "best_model", *[r6(c).alias(c) for c in EXPERIMENT_METRICS])
+    return rows.select("fraction", "input_rows", "users", "items", "partitions", "train_rows", "catalog_items",
+                       "test_users", "model", "best_model", *[r6(c).alias(c) for c in EXPERIMENT_METRICS])
 
 
 def q_partition_invariance(spark, sf):
     rows = partition_experiment(clean(spark, sf, "orders"), DEFAULT)
-    return rows.select("partitions", "input_rows", *[r6(c).alias(c) for c in EXPERIMENT_METRICS])
+    return rows.select("partitions", "shuffle_partitions", "input_rows",
+                       *[r6(c).alias(c) for c in EXPERIMENT_METRICS])
 
 
 def q_model_experiment(spark, sf):
