@@ -136,11 +136,12 @@ def _popular(p: str, train: str, k: int = K, exclude_seen: bool = True) -> str:
     return f"""{p}pop AS (
   SELECT itemid, sum(CAST(score AS DECIMAL(28,12))) AS item_score FROM {train} GROUP BY itemid),
 {p}cands AS (
-  SELECT row_number() OVER (ORDER BY item_score DESC, itemid ASC) AS cand_rank, itemid, item_score
+  SELECT CAST(row_number() OVER (ORDER BY item_score DESC, itemid ASC) AS INTEGER) AS cand_rank, itemid, item_score
   FROM {p}pop QUALIFY cand_rank <= {N_CANDIDATES}),
 {p}users AS (SELECT DISTINCT visitorid FROM {train}),
 {p}recs AS (
-  SELECT u.visitorid, row_number() OVER (PARTITION BY u.visitorid ORDER BY c.cand_rank) AS rank, c.itemid
+  SELECT u.visitorid, CAST(row_number() OVER (PARTITION BY u.visitorid ORDER BY c.cand_rank) AS INTEGER) AS rank,
+         c.itemid
   FROM {p}users u, {p}cands c {unseen}
   QUALIFY rank <= {k})"""
 
@@ -161,12 +162,13 @@ def _cooc(p: str, train: str, k: int = K, cap: int = 100, top_n: int = 50) -> st
   SELECT itemid, candidate_itemid, similarity FROM {p}pairs
   QUALIFY row_number() OVER (PARTITION BY itemid ORDER BY similarity DESC, candidate_itemid ASC) <= {top_n}),
 {p}scores AS (
-  SELECT h.visitorid, t.candidate_itemid, sum(t.similarity) AS score
+  SELECT h.visitorid, t.candidate_itemid, CAST(sum(t.similarity) AS BIGINT) AS score
   FROM {p}hist h JOIN {p}top t ON h.itemid = t.itemid
   WHERE NOT EXISTS (SELECT 1 FROM {p}hist s WHERE s.visitorid = h.visitorid AND s.itemid = t.candidate_itemid)
   GROUP BY h.visitorid, t.candidate_itemid),
 {p}recs AS (
-  SELECT visitorid, row_number() OVER (PARTITION BY visitorid ORDER BY score DESC, candidate_itemid ASC) AS rank,
+  SELECT visitorid,
+         CAST(row_number() OVER (PARTITION BY visitorid ORDER BY score DESC, candidate_itemid ASC) AS INTEGER) AS rank,
          candidate_itemid AS itemid
   FROM {p}scores QUALIFY rank <= {k}),
 {p}users AS (SELECT DISTINCT visitorid FROM {p}recs)"""
@@ -337,7 +339,7 @@ FROM train"""
     q["popular_recs_keep_seen"] = _with(_base("orders"), _popular("", "train", exclude_seen=False)) + \
         "SELECT visitorid, rank, itemid FROM recs"
     q["popular_list_sizes"] = _with(_base("events"), _popular("", "train")) + """
-SELECT u.visitorid, count(r.itemid) AS list_size
+SELECT u.visitorid, CAST(count(r.itemid) AS INTEGER) AS list_size
 FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"""
     q["pair_support"] = _with(_base("orders"), _cooc("", "train", cap=30)) + \
         "SELECT itemid, candidate_itemid, similarity FROM pairs"
