@@ -11,6 +11,7 @@ from .conftest import SF_SMALL
 from .oracle_check import TABLES, digest
 
 SQL = entry.oracle_sql()
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 SLOW = {"als_grid", "scale_experiment", "partition_invariance"}
 
 
@@ -31,6 +32,9 @@ def test_every_query_has_oracle_or_is_listed():
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
+    rel = con.sql(SQL[name])
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = con.execute(SQL[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
