@@ -27,7 +27,7 @@ from clickrank.operators.evaluate import catalog_size, evaluate_recommendations,
 from clickrank.operators.interactions import aggregate_interactions, deterministic_user_sample, user_histories
 from clickrank.operators.popularity import popular_candidates, recommend_popular
 from clickrank.operators.profile import dataset_profile
-from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, cutoff_rank, exact_cutoff
+from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, exact_cutoff
 from clickrank.plans.experiments import (
     best_by,
     model_experiment,

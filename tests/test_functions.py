@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
 
 from clickrank.functions import epoch_ms_to_timestamp, event_weight, implicit_score, sample_threshold, user_bucket
 

@@ -8,7 +8,6 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from clickrank.config import RecConfig
 from clickrank.operators.als import recommend_als
 from clickrank.operators.clean import clean_events
 from clickrank.operators.cooccurrence import pair_support, recommend_cooccurrence

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
 
 from clickrank.config import RecConfig
 from clickrank.operators.als import recommend_als

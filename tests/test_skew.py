@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 from contextlib import redirect_stdout
 
-from pyspark.sql import functions as F
 
 from clickrank.operators.cooccurrence import candidate_scores, pair_support, top_similar
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
 
 from clickrank.operators.clean import clean_events
 from clickrank.operators.profile import dataset_profile
