@@ -69,7 +69,7 @@ def top_similar(similarities: DataFrame, top_n: int = 50) -> DataFrame:
 
 
 def candidate_scores(train: DataFrame, neighbours: DataFrame, top_n: int | None = None,
-                     rows_bound: int | None = None) -> DataFrame:
+                     rows_bound: int | None = None, n_items: int | None = None) -> DataFrame:
     """J4 + A8 + P17: summed similarity per (visitorid, candidate) for unseen candidates.
 
     The seen-item test depends only on the group key, so it is folded into
@@ -91,7 +91,7 @@ def candidate_scores(train: DataFrame, neighbours: DataFrame, top_n: int | None
     history = train.select("visitorid", "itemid")
     small = False
     if top_n is not None:
-        items = train.select(F.count_distinct("itemid")).first()[0]
+        items = n_items if n_items is not None else train.select(F.count_distinct("itemid")).first()[0]
         small = items * top_n <= MAX_BROADCAST_NEIGHBOURS and not hot_keys(
             key_counts(history, "visitorid"), "visitorid", rows_bound=rows_bound)
     if small:
@@ -126,7 +126,8 @@ def recommend_cooccurrence(train: DataFrame, k: int, max_items_per_user_for_pair
     """M2: users with no unseen candidate get no list."""
     if k <= 0:
         raise ValueError("k must be positive")
-    rows = train.count()  # bounds every per-key count below (cheap on a persisted train table)
+    # one small job: the row count bounds every per-key count below, the item count bounds the neighbour table
+    rows, items = train.agg(F.count(F.lit(1)), F.count_distinct("itemid")).first()
     neighbours = top_similar(pair_support(train, max_items_per_user_for_pairs, rows), top_similar_items_per_item)
-    long = rank_candidates(candidate_scores(train, neighbours, top_similar_items_per_item, rows), k)
+    long = rank_candidates(candidate_scores(train, neighbours, top_similar_items_per_item, rows, items), k)
     return RecList(long, long.where(F.col("rank") == 1).select("visitorid"))
