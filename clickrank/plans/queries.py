@@ -96,11 +96,13 @@ def metrics_out(df: DataFrame) -> DataFrame:
 # --- sources -------------------------------------------------------------------
 
 def q_events_csv_roundtrip(spark, sf):
+    """Raw events to CSV and clean events to Parquet, re-read and counted."""
     raw = fixture_events(spark, sf, "events")
     return storage_experiment(raw, clean_events(raw)).select("format", "rows")
 
 
 def q_item_properties_scan(spark, sf):
+    """Item properties written as two CSV files and scanned as one table."""
     props = item_properties_fixture(spark, sf)
     base = scratch_path(spark, "item-properties")
     write_csv(props.where(F.col("property") == "brand"), f"{base}/part1")
@@ -109,6 +111,7 @@ def q_item_properties_scan(spark, sf):
 
 
 def q_category_tree_scan(spark, sf):
+    """S3: category tree written as CSV and read back with the fixed schema."""
     path = scratch_path(spark, "category-tree")
     write_csv(category_tree_fixture(spark, sf), path)
     return read_category_tree(spark, path)
@@ -117,43 +120,52 @@ def q_category_tree_scan(spark, sf):
 # --- cleaning, weights, profile --------------------------------------------------
 
 def q_clean_events(spark, sf):
+    """Cleaning of the events fixture with injected duplicates and missing item ids."""
     return clean_out(clean(spark, sf, "events_dirty"))
 
 
 def q_clean_orders(spark, sf):
+    """Cleaning of the orders fixture (real duplicates)."""
     return clean_out(clean(spark, sf, "orders"))
 
 
 def q_event_weight_default(spark, sf):
+    """Weight per raw event type, 0.0 for types without one."""
     raw = fixture_events(spark, sf, "events")
     return raw.groupBy("event").agg(F.count(F.lit(1)).alias("events")).select(
         "event", event_weight_or_zero("event", DEFAULT.event_weights).alias("weight"), "events")
 
 
 def q_dataset_profile(spark, sf):
+    """Q1: profile of the clean events fixture."""
     return metrics_out(dataset_profile(clean(spark, sf, "events")))
 
 
 def q_dataset_profile_orders(spark, sf):
+    """Q1: profile of the clean orders fixture."""
     return metrics_out(dataset_profile(clean(spark, sf, "orders")))
 
 
 # --- interactions, support, sampling ---------------------------------------------
 
 def q_interactions_log(spark, sf):
+    """A1 + P9: interactions with log1p scores."""
     return interactions_out(aggregate_interactions(clean(spark, sf, "orders"), True, 1, 1))
 
 
 def q_interactions_raw(spark, sf):
+    """A1 + P9: interactions with raw summed weights."""
     return interactions_out(aggregate_interactions(clean(spark, sf, "orders"), False, 1, 1))
 
 
 def q_support_filter(spark, sf):
+    """P10: interactions whose user and item both have at least 30 pairs."""
     return interactions_out(aggregate_interactions(clean(spark, sf, "orders"), True, SUPPORT_MIN_USER,
                                                    SUPPORT_MIN_ITEM))
 
 
 def q_user_sample(spark, sf):
+    """Users kept by the 25 % Murmur3 sample, with their bucket and event count."""
     sampled = deterministic_user_sample(clean(spark, sf, "orders"), SAMPLE_FRACTION)
     return sampled.groupBy("visitorid").agg(F.count(F.lit(1)).alias("events")).select(
         "visitorid", user_bucket("visitorid").alias("bucket"), "events")
@@ -178,14 +190,17 @@ def _cutoff_rows(events: DataFrame, ratios) -> DataFrame:
 
 
 def q_exact_cutoff(spark, sf):
+    """A19 + P12: exact cutoffs at 0.8 and 0.25 on the orders fixture, with split sizes."""
     return _cutoff_rows(clean(spark, sf, "orders"), CUTOFF_RATIOS)
 
 
 def q_temporal_split_counts(spark, sf):
+    """A19 + P12: exact cutoffs at 0.8 and 0.25 on the events fixture, with split sizes."""
     return _cutoff_rows(clean(spark, sf, "events"), CUTOFF_RATIOS)
 
 
 def q_approx_cutoff_bound(spark, sf):
+    """The approxQuantile cutoff is within its rank-error bound."""
     events = clean(spark, sf, "orders")
     value = approx_cutoff(events, DEFAULT.train_ratio)
     n = F.count(F.lit(1))
@@ -197,10 +212,12 @@ def q_approx_cutoff_bound(spark, sf):
 
 
 def q_relevant_items(spark, sf):
+    """P13 + A6 + J3: relevant (user, item) pairs of the test period."""
     return split(spark, sf, "orders").relevant
 
 
 def q_relevant_fallback(spark, sf):
+    """P14 + L4: relevant pairs when the configured types find none."""
     result = split(spark, sf, "orders", replace(DEFAULT, relevant_events=("no_such_event",)))
     return result.relevant.select("visitorid", "itemid", F.lit(result.used_fallback).alias("used_fallback"))
 
@@ -213,6 +230,7 @@ def q_user_history(spark, sf):
 
 
 def q_distinct_counts(spark, sf):
+    """A16 + A17: row and distinct counts of the split tables."""
     tt = split(spark, sf, "orders")
     return tt.train.agg(
         F.count(F.lit(1)).alias("train_rows"),
@@ -227,6 +245,7 @@ def q_distinct_counts(spark, sf):
 # --- popularity ---------------------------------------------------------------
 
 def q_item_popularity_topn(spark, sf):
+    """A4 + L1: the global top-N candidates with their decimal scores."""
     train = split(spark, sf, "orders").train
     n = max(K * DEFAULT.candidate_multiplier, K)
     return popular_candidates(train, n).select(
@@ -234,14 +253,17 @@ def q_item_popularity_topn(spark, sf):
 
 
 def q_popular_recs(spark, sf):
+    """M1: popularity lists without seen items, long form."""
     return recommend_popular(split(spark, sf, "orders").train, K).long
 
 
 def q_popular_recs_keep_seen(spark, sf):
+    """M1 with exclude_seen=False."""
     return recommend_popular(split(spark, sf, "orders").train, K, exclude_seen=False).long
 
 
 def q_popular_list_sizes(spark, sf):
+    """M1: every train user has a list (array form), with its length."""
     recs = recommend_popular(split(spark, sf, "events").train, K)
     return recs.arrays().select("visitorid", F.size("recommendations").alias("list_size"))
 
@@ -249,16 +271,19 @@ def q_popular_list_sizes(spark, sf):
 # --- co-occurrence ------------------------------------------------------------
 
 def q_pair_support(spark, sf):
+    """J5 + A7 + P15 + P16: ordered pair supports with a 30-item cap."""
     return pair_support(split(spark, sf, "orders").train, PAIR_CAP)
 
 
 def q_top_similar(spark, sf):
+    """50 most similar candidates per item."""
     train = split(spark, sf, "orders").train
     return top_similar(pair_support(train, DEFAULT.max_items_per_user_for_pairs),
                        DEFAULT.top_similar_items_per_item)
 
 
 def q_candidate_scores(spark, sf):
+    """J4 + A8 + P17: summed similarity per user and unseen candidate."""
     train = split(spark, sf, "events").train
     neighbours = top_similar(pair_support(train, DEFAULT.max_items_per_user_for_pairs),
                              DEFAULT.top_similar_items_per_item)
@@ -266,23 +291,27 @@ def q_candidate_scores(spark, sf):
 
 
 def q_cooc_recs(spark, sf):
+    """M2 + W2 + A9: co-occurrence lists, long form."""
     return recommend_cooccurrence(split(spark, sf, "orders").train, K).long
 
 
 # --- evaluation -----------------------------------------------------------------
 
 def q_per_user_metrics(spark, sf):
+    """E1-E4 per evaluated user for the popularity lists."""
     tt = split(spark, sf, "orders")
     return metrics_out(per_user_metrics(recommend_popular(tt.train, K).persist(), tt.relevant, K))
 
 
 def q_evaluate_popularity(spark, sf):
+    """E5: averaged metrics and coverage of the popularity lists."""
     tt = split(spark, sf, "orders")
     return metrics_out(evaluate_recommendations(recommend_popular(tt.train, K).persist(), tt.relevant,
                                                 catalog_size(tt.train), K))
 
 
 def q_evaluate_cooccurrence(spark, sf):
+    """E5: averaged metrics and coverage of the co-occurrence lists."""
     tt = split(spark, sf, "orders")
     return metrics_out(evaluate_recommendations(recommend_cooccurrence(tt.train, K).persist(), tt.relevant,
                                                 catalog_size(tt.train), K))
@@ -305,14 +334,17 @@ def _als(spark, sf, exclude_seen=True):
 
 
 def q_als_recs(spark, sf):
+    """M3 + M4 + L3: ALS lists without seen items (no SQL oracle)."""
     return _als(spark, sf)[1].long
 
 
 def q_als_recs_keep_seen(spark, sf):
+    """M4 with exclude_seen=False (no SQL oracle)."""
     return _als(spark, sf, exclude_seen=False)[1].long
 
 
 def q_als_invariants(spark, sf):
+    """ALS lists: no seen item, length <= k, dense ranks, only requested users."""
     tt, recs = _als(spark, sf)
     lists = recs.long
     seen = lists.join(tt.train.select("visitorid", "itemid"), ["visitorid", "itemid"]).select(
@@ -330,11 +362,13 @@ def q_als_invariants(spark, sf):
 
 
 def q_evaluate_als(spark, sf):
+    """E5 on ALS lists (no SQL oracle)."""
     tt, recs = _als(spark, sf)
     return metrics_out(evaluate_recommendations(recs, tt.relevant, catalog_size(tt.train), K))
 
 
 def q_als_grid(spark, sf):
+    """M5: one evaluated row per ALS grid point (no SQL oracle)."""
     tt = split(spark, sf, "events")
     rows = model_experiment(tt.train, tt.relevant, DEFAULT, ["als"])
     return rows.select("model", "params", "test_users", *[r6(c).alias(c) for c in
@@ -347,18 +381,21 @@ EXPERIMENT_METRICS = ("precision", "recall", "map", "ndcg", "coverage")
 
 
 def q_scale_experiment(spark, sf):
+    """B1 + B3 + B6: popularity per user fraction."""
     rows = scale_experiment(clean(spark, sf, "orders"), DEFAULT, models=("popularity",))
     return rows.select("fraction", "input_rows", "users", "items", "partitions", "train_rows", "catalog_items",
                        "test_users", "model", "best_model", *[r6(c).alias(c) for c in EXPERIMENT_METRICS])
 
 
 def q_partition_invariance(spark, sf):
+    """Popularity at 25 % of users with 2/4/8/16 partitions; metrics must agree."""
     rows = partition_experiment(clean(spark, sf, "orders"), DEFAULT)
     return rows.select("partitions", "shuffle_partitions", "input_rows",
                        *[r6(c).alias(c) for c in EXPERIMENT_METRICS])
 
 
 def q_model_experiment(spark, sf):
+    """B2 + B6: one row per deterministic model."""
     tt = split(spark, sf, "orders")
     rows = model_experiment(tt.train, tt.relevant, DEFAULT, ["popularity", "cooccurrence"])
     return rows.select("model", "params", "k", "train_rows", "catalog_items", "test_users",
@@ -366,12 +403,14 @@ def q_model_experiment(spark, sf):
 
 
 def q_best_model(spark, sf):
+    """R1 + L5: best model per metric."""
     tt = split(spark, sf, "orders")
     rows = model_experiment(tt.train, tt.relevant, DEFAULT, ["popularity", "cooccurrence"])
     return best_by(rows).select("metric", "model", r6("value").alias("value"))
 
 
 def q_prepare_tables(spark, sf):
+    """S7 + S8 + S10 + S11: written tables re-read and counted."""
     base = scratch_path(spark, "prepared")
     events = clean(spark, sf, "orders")
     paths = prepare_outputs(events, base, DEFAULT)
