@@ -116,6 +116,8 @@ def main() -> None:
         "queries": times,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": cpus,
+        "spark": spark.version,
+        "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
         "details": extra,
     }, default=str))
     split.release()
