@@ -155,3 +155,11 @@ def test_empty_inputs(spark):
     relevant = spark.createDataFrame([], "visitorid int, itemid int")
     row = evaluate_recommendations(recommend_popular(empty, 5), relevant, catalog_size(empty), 5).first()
     assert row.test_users == 0 and row.precision_at_5 == 0.0 and row.coverage == 0.0
+
+
+def test_release_keeps_callers_cache(spark):
+    ev = clean_events(orders_fixture(spark, SF_SMALL)).persist()
+    tt = build_train_test(ev)
+    tt.release()
+    assert ev.storageLevel.useMemory or ev.storageLevel.useDisk
+    ev.unpersist()
