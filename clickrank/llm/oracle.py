@@ -34,3 +34,80 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)
 """
+
+SQL["op9_secret_scan"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+rules(kind, place, pat, grp, least) AS (VALUES
+  ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 20),
+  ('hex', 2, '[0-9a-f]{24,}', 0, 24),
+  ('private', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(-----END [A-Z ]*PRIVATE KEY-----)?', 0, 0),
+  ('webtoken', 4, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0, 0)),
+m AS (
+  SELECT r, kind, place, least, string_split_regex(t, pat) AS gap, regexp_extract_all(t, pat, 0) AS hit,
+         CASE WHEN grp = 2 THEN regexp_extract_all(t, pat, 2) ELSE regexp_extract_all(t, pat, 0) END AS told
+  FROM d, rules WHERE regexp_matches(t, pat)),
+p AS (SELECT r, kind, place, least, unnest(range(1, len(hit) + 1)) AS i, gap, hit, told FROM m),
+s AS (
+  SELECT r, kind, place, list_sum([length(x) FOR x IN gap[1:i]]) + coalesce(list_sum([length(x) FOR x IN hit[1:i - 1]]), 0) AS a,
+         length(hit[i]) AS n FROM p WHERE length(told[i]) >= least),
+j AS (SELECT r, kind, place, CAST(a AS BIGINT) AS a, CAST(a + n AS BIGINT) AS z FROM s),
+o AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, place) FILTER (place < 3), '') AS base,
+         string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, place) AS spans
+  FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (r)
+"""
+
+
+def _pour(src: str, parent: str, name: str) -> str:
+    """Children of ``src`` (cap, weight, above) with their budgets: the same filling rule, window by window."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    keys = f"{parent}, {name}" if parent else name
+    return f"""
+SELECT {keys}, CASE WHEN weight <= 0 THEN 0 WHEN pot IS NULL THEN cap
+       ELSE (pot.l * weight) // pot.s END AS above
+FROM (SELECT *, first(CASE WHEN NOT filled AND weight > 0 THEN {{'l': l, 's': s}} END IGNORE NULLS) OVER (
+        {by} ORDER BY k NULLS FIRST, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pot
+  FROM (SELECT *, cap * s <= l * weight AND weight > 0 AS filled
+    FROM (SELECT *, above - coalesce(sum(CASE WHEN weight > 0 THEN cap ELSE 0 END) OVER (
+            {by} ORDER BY k NULLS FIRST, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+            sum(weight) OVER ({by} ORDER BY k NULLS FIRST, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s
+      FROM (SELECT *, CAST(cap AS DOUBLE) / nullif(weight, 0) AS k FROM ({src})))))"""
+
+
+def _mix_sql() -> str:
+    node = "SELECT {keys}, sum(cap) AS cap, any_value({weight}) AS weight, any_value({above}) AS above FROM {of} GROUP BY {keys}"
+    domain_w = "CASE domain WHEN 'web' THEN 4 WHEN 'reference' THEN 3 WHEN 'books' THEN 2 ELSE 1 END"
+    lang_w = "CASE language WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END"
+    one = node.format(keys="domain", weight=domain_w, of="leaves", above="(SELECT t FROM total)")
+    two = node.format(keys="domain, language", weight=lang_w, of="leaves JOIN b1 USING (domain)", above="b1.above")
+    three = node.format(keys="domain, language, source", weight="1", of="leaves JOIN b2 USING (domain, language)", above="b2.above")
+    return f"""
+WITH rows_ AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS source,
+         coalesce(['web', 'reference', 'books', 'forums'][CAST(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS HUGEINT) % 4 + 1 AS BIGINT)], 'unknown') AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM documents),
+rows0 AS (SELECT * FROM rows_ WHERE n > 0),
+leaves AS (SELECT domain, language, source, CAST(sum(n) AS HUGEINT) AS tokens, CAST(sum(n) * 4 AS HUGEINT) AS cap FROM rows0 GROUP BY ALL),
+total AS (SELECT least(CAST(sum(tokens) * 600 // 1000 AS HUGEINT), CAST(sum(cap) AS HUGEINT)) AS t FROM leaves),
+b1 AS ({_pour(one, "", "domain")}),
+b2 AS ({_pour(two, "domain", "language")}),
+b3 AS ({_pour(three, "domain, language", "source")}),
+plan AS (SELECT domain, language, source, tokens, CAST(above // tokens AS BIGINT) AS epochs, above % tokens AS rest
+  FROM leaves JOIN b3 USING (domain, language, source)),
+last AS (
+  SELECT *, sum(n) OVER (PARTITION BY domain, language, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM (SELECT *, md5('42:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS h
+        FROM rows0 JOIN plan USING (domain, language, source)))
+SELECT doc_id, domain, language, source, e AS epoch, CAST(n AS BIGINT) AS n_tokens
+FROM (SELECT *, unnest(range(0, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS e FROM last)
+"""
+
+
+SQL["op3_mix_sources"] = _mix_sql()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import decontaminate, mixing, quality_rules, secret_scan
 from .common import table
 
 
@@ -13,9 +14,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's epochs in a mix of 600 per thousand of the corpus's tokens."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")) \
+        .select("doc_id", "domain", F.coalesce("lang", F.lit("unknown")).alias("language"),
+                F.coalesce("source", F.lit("unknown")).alias("source"), "epoch", "n_tokens")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words found in every document."""
     return decontaminate.score_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_decontaminate)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by way of a new ledger."""
+    docs = table(spark, sf_dir, "documents")
+    ledger, _ = secret_scan.scan(docs)
+    return secret_scan.report(docs, ledger)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_mix_sources, op7_decontaminate, op9_secret_scan)}

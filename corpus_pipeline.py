@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickrank.llm import decontaminate, quality_rules
+from clickrank.llm import decontaminate, mixing, quality_rules, secret_scan
 from clickrank.llm.common import table, written
 
 
@@ -22,9 +22,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span that the scan finds is replaced by a mark; all documents stay."""
+    ledger, _ = secret_scan.scan(docs)
+    return secret_scan.redact(docs, ledger)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows by epoch, in the proportions of the domain, language and source weights."""
+    return mixing.mix(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
     ("decontamination", decontamination),
+    ("secret_scans", secrets),
+    ("mixing", mixture),
 ]
 
 #: The decision list is learned from labels step by step, which SQL can't express; see tests/llm/test_pipeline.py.
