@@ -40,8 +40,8 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-case A-Z and nothing else (lower() does just that where there is nothing beyond ASCII)."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def words_of(text: Column, pattern: str = WORD) -> Column:

@@ -20,6 +20,8 @@ from .common import fresh, let, lower_ascii, row_key, text_or_empty, words_of, w
 
 #: Letters, digits and everything beyond ASCII.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same tokens before A-Z are lower-cased.
+RAW_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Words in the benchmark's windows up to which both sets are broadcast; beyond it the same joins shuffle.
 MAX_BROADCAST_WORDS = 5_000_000
@@ -29,6 +31,10 @@ def tokens(text: str = "text") -> Column:
     return words_of(lower_ascii(text_or_empty(text)), TOKEN)
 
 
+def count_tokens() -> Column:
+    return F.regexp_count(text_or_empty(), F.lit(RAW_TOKEN)).cast("long")
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, n, gram, w): every window of every item; shorter items are one window of all their words."""
     items = benchmark.select("item_id", tokens().alias("t")).where(F.size("t") > 0)
@@ -83,7 +89,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     known = grams.select("item_id", "n", "gram")
     if sizes["words"] <= MAX_BROADCAST_WORDS:
         known = F.broadcast(known)
-    return tried.join(known, ["n", "gram"]).select("key", "at", "n", "item_id")
+    return written(tried.join(known, ["n", "gram"]).select("key", "at", "n", "item_id"), "benchmark-found")
 
 
 def _per_text(hits: DataFrame) -> DataFrame:
@@ -108,7 +114,7 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def score_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``."""
     hits = written(_per_text(find_hits(docs, benchmark, window)), "benchmark-hits")
-    rows = docs.select(row_key().alias("key"), "doc_id", F.size(tokens()).cast("long").alias("n_words"))
+    rows = docs.select(row_key().alias("key"), "doc_id", count_tokens().alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(hits, "key", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -121,7 +127,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     hits = written(_per_text(find_hits(docs, benchmark, window)).select("key", "n_hit"), "benchmark-hits")
     key, hit = fresh(docs.columns, "row_key"), fresh(docs.columns, "n_hit")
     out = docs.withColumn(key, row_key()).join(hits.select(F.col("key").alias(key), F.col("n_hit").alias(hit)), key, "left")
-    return out.where(F.col(hit).isNull() | ~contaminated(F.col(hit), F.size(tokens()))).select(*docs.columns)
+    return out.where(F.col(hit).isNull() | ~contaminated(F.col(hit), count_tokens())).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -141,7 +147,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             F.when((i > 0) & F.coalesce(F.get(h, i - 1), F.lit(False)), F.lit("")).otherwise(g),
             F.when(F.coalesce(F.get(h, i), F.lit(True)), F.lit("")).otherwise(F.coalesce(F.get(p["word"], i), F.lit(""))))), ""))
 
-    token = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.struct(F.split("text", token, -1).alias("gap"), words_of(F.col("text"), token).alias("word"))
+    pieces = F.struct(F.split("text", RAW_TOKEN, -1).alias("gap"), words_of(F.col("text"), RAW_TOKEN).alias("word"))
     return out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(let(pieces, rebuilt))) \
         .select(*docs.columns)

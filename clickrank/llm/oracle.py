@@ -111,3 +111,16 @@ FROM (SELECT *, unnest(range(0, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 EN
 
 
 SQL["op3_mix_sources"] = _mix_sql()
+
+SQL["op5_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT r, unnest([list_slice(t, i, i + 2) FOR i IN range(1, greatest(len(t) - 2, 1) + 1)]) AS g FROM w WHERE len(t) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+reach AS (SELECT r, r AS x FROM w UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.x)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM w JOIN reach USING (r) JOIN w o ON o.r = reach.x LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
+"""

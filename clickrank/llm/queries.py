@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, secret_scan
+from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.coalesce("source", F.lit("unknown")).alias("source"), "epoch", "n_tokens")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words found in every document."""
     return decontaminate.score_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,4 +39,4 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_mix_sources, op7_decontaminate, op9_secret_scan)}
+    op1_quality_rules, op3_mix_sources, op5_ngram_jaccard, op7_decontaminate, op9_secret_scan)}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickrank.llm import decontaminate, mixing, quality_rules, secret_scan
+from clickrank.llm import decontaminate, jaccard_join, mixing, quality_rules, secret_scan
 from clickrank.llm.common import table, written
 
 
@@ -17,6 +17,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the smallest id stays."""
+    return jaccard_join.keep_one(docs, jaccard_join.JaccardConfig(words=5, percent=80))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark windows in a twentieth of their words or more go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -35,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("ngram_jaccard", near_duplicates),
     ("decontamination", decontamination),
     ("secret_scans", secrets),
     ("mixing", mixture),
