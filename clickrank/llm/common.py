@@ -30,6 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys (rows of a few numbers) up to which a counted table is broadcast.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def keys(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, and marked for broadcast if its rows, as counted, are within MAX_BROADCAST_KEYS."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
+
+
 def let(value: Column, body) -> Column:
     """``body`` over ``value`` as a lambda variable, so that ``value`` is computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,8 +11,10 @@ A size-aware heavy-light join over distinct sets (equal sets are one node from t
 
 Within a list no pairs are emitted at first: each member is checked against the list's hub, verified links
 become components, and only members that lie outside the component with most of the list are then compared
-with the list's members of other components.  So a group of thousands of near copies costs a star, yet every
-pair that could still join two components is verified against the whole sets.
+with the list's members of other components; in long lists each such pair is made once, in the first list that
+it shares, and only if the two prefixes leave room for enough common shingles.  So a group of thousands of
+near copies costs a star and its stragglers, yet every pair that could still join two components is verified
+against the whole sets.
 
 The boundary compares, per set size, the number of subsets with the number of list entries read.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, written
+from .common import connected_components, fresh, keys, let, written
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,8 @@ class JaccardConfig:
     percent: int = 90  # sets link when 100 * |A & B| >= percent * |A | B|
     light_limit: int = 24  # the cost comparison tries boundaries up to this set size
     long_list: int = 16  # shorter lists never count as long
+    star_turns: int = 2  # rounds in which the long lists' stragglers meet members of the largest component
+    draws: int = 4  # members that each list draws for that
     max_long: int = 1_000_000  # at most so many shingles are put last (8 bytes each in the broadcast)
 
     def prefix(self, n: int) -> int:
@@ -111,6 +116,12 @@ def shingle_rows(docs: DataFrame, config: JaccardConfig) -> DataFrame:
         run, f"doc_id {kind}, tkey string, n long, node binary, head array<long>")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(nid, text) of the wanted (nid, tkey), once per text."""
+    found = docs.select(F.md5("text").alias("tkey"), "text").join(keys(wanted, "jaccard-wanted"), "tkey")
+    return found.groupBy("nid").agg(F.first("text").alias("text"))
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, config: JaccardConfig) -> DataFrame:
     """(nid, hashes) of the wanted (nid, tkey), shingled from the texts again, once per text."""
     def run(batches):
@@ -118,8 +129,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, config: JaccardConfig) -> Da
             sets = [shingle_set(t, config.words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("nid"), _lists(sets)], ["nid", "hashes"])
 
-    texts = docs.select(F.md5("text").alias("tkey"), "text").join(wanted, "tkey").groupBy("nid").agg(F.first("text").alias("text"))
-    return texts.mapInArrow(run, "nid long, hashes array<long>")
+    return _texts(docs, wanted).mapInArrow(run, "nid long, hashes array<long>")
 
 
 def _long_lists(nodes: DataFrame, config: JaccardConfig) -> np.ndarray:
@@ -150,7 +160,7 @@ def _in_order(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, last: np.ndarray, boundary: int, config: JaccardConfig) -> DataFrame:
-    """(nid, n, pos, h): the prefix of each set that can have a partner beyond the boundary."""
+    """(nid, n, prefix) of each set that can have a partner beyond the boundary."""
     def emit(nids, sizes, sets, whole):
         for nid, n, s in zip(nids, sizes, sets):
             p = config.prefix(n)
@@ -182,9 +192,8 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, last: np.ndarray, boundary: int
     schema = "nid long, n long, prefix array<long>"
     first = written(large.select("nid", "n", "head").mapInArrow(from_heads, schema), "jaccard-prefix")
     short = first.where(F.size("prefix") == 0).select("nid").join(large.select("nid", "tkey"), "nid")
-    texts = docs.select(F.md5("text").alias("tkey"), "text").join(short, "tkey").groupBy("nid").agg(F.first("text").alias("text"))
-    both = first.where(F.size("prefix") > 0).union(texts.mapInArrow(from_texts, schema))
-    return both.select("nid", "n", F.posexplode("prefix").alias("pos", "h"))
+    rest = written(_texts(docs, short).mapInArrow(from_texts, schema), "jaccard-prefix")
+    return first.where(F.size("prefix") > 0).union(rest)
 
 
 def _boundary(nodes: DataFrame, config: JaccardConfig) -> int:
@@ -248,95 +257,146 @@ def _light_links(nodes: DataFrame, boundary: int, config: JaccardConfig) -> Data
 def _plausible(pairs: DataFrame, config: JaccardConfig) -> DataFrame:
     """(a, b) whose sizes and last common prefix place leave room for enough common shingles.
 
-    ``pairs``: a, na, pa, b, nb, pb, a row for each common prefix shingle and its places.
+    ``pairs``: a, na, pa, b, nb, pb, a row for each common prefix shingle that was seen, and its places; before
+    the last of them there may be others.
     """
-    got = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("pa").alias("pa"), F.max("pb").alias("pb"),
+    got = pairs.groupBy("a", "b").agg(F.max("pa").alias("pa"), F.max("pb").alias("pb"),
                                       F.max("na").alias("na"), F.max("nb").alias("nb"))
-    room = F.col("m") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    room = 1 + F.least("pa", "pb") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     return got.where((100 * F.least("na", "nb") >= config.percent * F.greatest("na", "nb"))
                      & ((100 + config.percent) * room >= config.percent * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataFrame:
-    """(a, b, linked) by the whole sets."""
-    pairs = written(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct().join(nodes.select("nid", "tkey"), "nid")
-    sets = written(_whole_sets(docs, wanted, config), "jaccard-sets")
+def _overlap_bound(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
+    """At most so many shingles are common, given the lowest hashes of both sets; exact for whole sets."""
+    upto = min(x[-1] if len(x) < nx else np.uint64(2**64 - 1), y[-1] if len(y) < ny else np.uint64(2**64 - 1))
+    x, y = x[:np.searchsorted(x, upto, "right")], y[:np.searchsorted(y, upto, "right")]
+    return len(np.intersect1d(x, y, assume_unique=True)) + min(nx - len(x), ny - len(y))
 
+
+def _pairs_where(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(a, b, linked): whether the overlap bound of the sets (nid, n, hashes; whole or lowest) reaches the threshold."""
     def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= config.percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                b = batch.slice(start, 1000)
+                ok = []
+                for x, y, nx, ny in zip(b.column("sa"), b.column("sb"), b.column("na").to_pylist(), b.column("nb").to_pylist()):
+                    x, y = (np.asarray(v.values.to_numpy(), np.int64).view(np.uint64) for v in (x, y))
+                    common = _overlap_bound(x, y, nx, ny)
+                    ok.append(100 * common >= config.percent * (nx + ny - common))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
-    both = pairs.join(sets.select(F.col("nid").alias("b"), F.col("hashes").alias("sb")), "b") \
-        .join(sets.select(F.col("nid").alias("a"), F.col("hashes").alias("sa")), "a")
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean"), "jaccard-verified")
+    both = pairs.join(sets.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("sb")), "b") \
+        .join(sets.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("sa")), "a")
+    return both.mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(a, b, linked): first by a bound from the heads, then, for those that pass, by the whole sets."""
+    def members(of: DataFrame) -> DataFrame:
+        return of.select(F.col("a").alias("nid")).union(of.select("b")).distinct()
+
+    pairs = written(pairs, "jaccard-pairs")
+    heads = nodes.join(keys(members(pairs), "jaccard-wanted"), "nid").select("nid", "n", F.col("head").alias("hashes"))
+    first = written(_pairs_where(pairs, written(heads, "jaccard-heads"), config), "jaccard-bound")
+    near = first.where("linked").select("a", "b")
+    wanted = nodes.select("nid", "tkey").join(keys(members(near), "jaccard-wanted"), "nid")
+    sets = written(_whole_sets(docs, wanted, config).withColumn("n", F.size("hashes").cast("long")), "jaccard-sets")
+    return written(_pairs_where(near, sets, config).union(first.where("not linked")), "jaccard-verified")
 
 
 def _heavy_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, boundary: int, config: JaccardConfig) -> DataFrame:
     """``links`` plus links (a, b) that make the components of all sets right."""
     last = _long_lists(nodes, config)
-    entries = written(_prefixes(docs, nodes, last, boundary, config), "jaccard-entries")
+    prefixes = _prefixes(docs, nodes, last, boundary, config)
+    entries = prefixes.select("nid", "n", F.posexplode("prefix").alias("pos", "h"))
     lists = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    entries = written(entries.join(lists.select("h"), "h"), "jaccard-lists")
-    own = entries.select("h", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    done = None
-    for hub in (F.min, F.max):  # stars: a list's members against its hub
-        now = entries
-        if done is not None:
-            now = _split_lists(entries, written(connected_components(links), "jaccard-components"))
-        hubs = now.groupBy("h").agg(hub("nid").alias("nid")).join(entries, ["h", "nid"]) \
-            .select("h", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-        pairs = own.join(hubs, "h").where((F.col("a") != F.col("b")) & ((F.col("na") > boundary) | (F.col("nb") > boundary)))
-        pairs = _plausible(pairs, config)
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    entries = written(entries.join(lists, "h"), "jaccard-lists")
+    beyond = (F.col("na") > boundary) | (F.col("nb") > boundary)
+    alike = 100 * F.least("na", "nb") >= config.percent * F.greatest("na", "nb")
+
+    def side(x: str, of: DataFrame, *more: str) -> DataFrame:
+        return of.select("h", F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
+
+    def drawn(of: DataFrame, seed: int) -> DataFrame:
+        """One member of each list, another one in each list."""
+        draw = F.xxhash64("h", "nid", F.lit(seed))
+        return of.groupBy("h").agg(F.min(draw).alias("draw")).join(of.withColumn("draw", draw), ["h", "draw"])
+
+    def stars(members: DataFrame, hubs: DataFrame) -> DataFrame:
+        pairs = side("b", members).join(side("a", hubs), "h").where((F.col("a") != F.col("b")) & beyond & alike)
+        return _plausible(_ordered(pairs), config)
+
+    def rooted(links: DataFrame, of: DataFrame) -> DataFrame:
+        """The entries of lists with more than one component, with their component and the list's largest."""
+        comp = written(connected_components(links), "jaccard-components")
+        own = of.join(comp.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        main = own.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(
+            F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
+        return written(own.join(main.where("roots > 1").select("h", F.col("main.root").alias("main")), "h"), "jaccard-split")
+
+    # stars: each list's members against one of them; then, in long lists, those outside the largest
+    # component against a few of its members
+    done = _verify(docs, nodes, stars(entries, drawn(entries, 0)), config)
+    links = written(links.union(done.where("linked").select("a", "b")), "jaccard-links")
+    for turn in range(config.star_turns):
+        now = rooted(links, entries.where(F.col("m") > config.long_list))
+        inner = now.where("root = main")
+        hubs = reduce(DataFrame.union, [drawn(inner, 1 + turn * config.draws + i) for i in range(config.draws)]).distinct()
+        pairs = stars(now.where("root <> main"), hubs).join(done.select("a", "b"), ["a", "b"], "left_anti")
         checked = _verify(docs, nodes, pairs, config)
+        done = done.union(checked)
         links = written(links.union(checked.where("linked").select("a", "b")), "jaccard-links")
-        done = checked if done is None else done.union(checked)
+
     # the rest: members outside their list's largest component, against the list's other components
-    comp = written(connected_components(links), "jaccard-components")
-    now = written(_split_lists(entries, comp, keep=True), "jaccard-split")
-    main = now.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "root")).alias("main")) \
-        .select("h", F.col("main.root").alias("main"))
-    left = now.join(main, "h").select("h", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-                                      F.col("root").alias("ra"), "main").where("ra <> main")
-    right = now.select("h", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    pairs = left.join(right, "h").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-                                        & ((F.col("na") > boundary) | (F.col("nb") > boundary))
-                                        & (100 * F.least("na", "nb") >= config.percent * F.greatest("na", "nb")))
-    flip = F.col("a") < F.col("b")
-    pairs = pairs.select(*[F.when(flip, F.col(x + u)).otherwise(F.col(x + v)).alias(x + u)
-                           for x in ("", "n", "p") for u, v in (("a", "b"), ("b", "a"))])
-    known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    checked = _verify(docs, nodes, _plausible(pairs, config).join(known, ["a", "b"], "left_anti"), config)
+    now = rooted(links, entries)
+    ra, rb = F.col("root").alias("ra"), F.col("root").alias("rb")
+    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & beyond & alike
+
+    def compared(of: DataFrame, *more: str) -> DataFrame:
+        left = side("a", of.where("root <> main"), ra, "main", *[F.col(c).alias(f"{c}_a") for c in more])
+        return left.join(side("b", of, rb, *[F.col(c).alias(f"{c}_b") for c in more]), "h").where(apart)
+
+    short = _plausible(_ordered(compared(now.where(F.col("m") <= config.long_list))), config)
+    # in long lists, members carry their prefixes, so that each pair is made in its first common list alone
+    long_ = now.where(F.col("m") > config.long_list)
+    long_ = long_.join(prefixes.join(keys(long_.select("nid").distinct(), "jaccard-long-members"), "nid")
+                       .select("nid", "prefix"), "nid")
+
+    def room(c):  # the common ones, and what can follow the last of them in either set
+        tail = F.element_at(c, -1)
+        return F.size(c) + F.least(F.col("na") - F.array_position("prefix_a", tail), F.col("nb") - F.array_position("prefix_b", tail))
+
+    # nothing before the first common place is common
+    early = (100 + config.percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) \
+        >= config.percent * (F.col("na") + F.col("nb"))
+    hopeful = early & let(F.array_intersect("prefix_a", "prefix_b"), lambda c: (F.element_at(c, 1) == F.col("h")) & (
+        (100 + config.percent) * room(c) >= config.percent * (F.col("na") + F.col("nb"))))
+    far = compared(long_, "prefix").where(hopeful)
+    rest = short.union(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    checked = _verify(docs, nodes, rest.join(done.select("a", "b"), ["a", "b"], "left_anti"), config)
     return links.union(checked.where("linked").select("a", "b"))
 
 
-def _split_lists(entries: DataFrame, comp: DataFrame, keep: bool = False) -> DataFrame:
-    """The entries of lists whose members lie in more than one component; ``keep`` adds the component as root."""
-    own = entries.join(comp.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    split = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    out = own.join(split, "h")
-    return out if keep else out.drop("root")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    flip = F.col("a") < F.col("b")
+    return pairs.select(*[F.when(flip, F.col(x + u)).otherwise(F.col(x + v)).alias(x + u)
+                          for x in ("", "n", "p") for u, v in (("a", "b"), ("b", "a"))])
 
 
 def link_documents(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> tuple[DataFrame, DataFrame]:
     """(rows, members): doc_id, tkey, n, node for every row, and node, root, component_id for every distinct set."""
     docs = docs.select("doc_id", "text")
-    rows = written(shingle_rows(docs, config), "jaccard-rows")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"),
-                                                   F.max("n").alias("n"), F.first("head").alias("head"))
-    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
+    rows = written(shingle_rows(docs, config).withColumn("nid", F.monotonically_increasing_id()), "jaccard-rows")
+    reps = written(rows.where("n > 0").groupBy("node").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("doc_id")),
+                   "jaccard-nodes")
+    nodes = rows.select("nid", "n", "tkey", "head").join(keys(reps.select("nid"), "jaccard-reps"), "nid")
     boundary = _boundary(nodes, config)
     links = written(_light_links(nodes, boundary, config), "jaccard-links")
     links = written(_heavy_links(docs, nodes, links, boundary, config), "jaccard-links")
     comp = written(connected_components(links), "jaccard-components")
-    members = nodes.select("node", "nid", "doc_id").join(comp.withColumnRenamed("node", "nid"), "nid", "left") \
+    members = reps.join(comp.withColumnRenamed("node", "nid"), "nid", "left") \
         .withColumn("root", F.coalesce("root", "nid"))
     least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "tkey", "n", "node"), written(members.select("node", "root").join(least, "root"), "jaccard-members")
