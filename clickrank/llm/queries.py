@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan
+from . import (decontaminate, html_model, jaccard_join, license_scan, mixing, quality_rules, secret_scan, site_quality,
+               warc_zip)
 from .common import table
 
 
@@ -21,16 +22,33 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.coalesce("source", F.lit("unknown")).alias("source"), "epoch", "n_tokens")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by the tree model."""
+    pages = table(spark, sf_dir, "pages")
+    return html_model.extract(pages, html_model.train(pages))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into ZIP archives, and every record read back by its range."""
+    manifest = warc_zip.write_archives(table(spark, sf_dir, "pages"))
+    return warc_zip.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words found in every document."""
     return decontaminate.score_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity and quality of every document, shrunk through source and language within source."""
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, by way of a new ledger."""
     docs = table(spark, sf_dir, "documents")
@@ -38,5 +56,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(docs, ledger)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or that of the nearest directory above it."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_mix_sources, op5_ngram_jaccard, op7_decontaminate, op9_secret_scan)}
+    op1_quality_rules, op3_mix_sources, op4_html_extract, op5_ngram_jaccard, op6_warc_zip, op7_decontaminate,
+    op8_site_quality, op9_secret_scan, op10_license_scan)}
