@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, html_model, jaccard_join, license_scan, mixing, quality_rules, secret_scan, site_quality,
-               warc_zip)
+               suffix_dedup, warc_zip)
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the bytes of 400-byte strings that start twice or more."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's epochs in a mix of 600 per thousand of the corpus's tokens."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")) \
@@ -62,5 +67,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_mix_sources, op4_html_extract, op5_ngram_jaccard, op6_warc_zip, op7_decontaminate,
-    op8_site_quality, op9_secret_scan, op10_license_scan)}
+    op1_quality_rules, op2_suffix_dedup, op3_mix_sources, op4_html_extract, op5_ngram_jaccard, op6_warc_zip,
+    op7_decontaminate, op8_site_quality, op9_secret_scan, op10_license_scan)}
