@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, row_key, text_or_empty, words_of, written
-from .decontaminate import TOKEN
+from .decontaminate import TOKEN, count_tokens
 
 #: Short notices by SPDX identifier.
 TEMPLATES = (
@@ -120,7 +120,7 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, templates=TEMPLAT
     found = written(found.groupBy("key").agg(F.sum("n").alias("matched"), F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
                     .select("key", "matched", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "license-found")
     rows = docs.select("doc_id", path.alias("dir"), row_key().alias("key"),
-                       F.regexp_count(lower_ascii(text_or_empty()), F.lit(TOKEN)).cast("long").alias("n"))
+                       count_tokens().alias("n"))
     rows = written(rows.join(found, "key", "left").withColumn("origin", F.when(F.col("license").isNull(), F.lit(None).cast("string")).when(
         2 * F.col("matched") >= F.col("n"), F.lit("file")).otherwise(F.lit("header"))), "license-rows")
     dirs = rows.where("origin = 'file'").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")) \
