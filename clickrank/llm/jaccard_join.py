@@ -46,8 +46,8 @@ class JaccardConfig:
     percent: int = 90  # sets link when 100 * |A & B| >= percent * |A | B|
     light_limit: int = 24  # the cost comparison tries boundaries up to this set size
     long_list: int = 16  # shorter lists never count as long
-    star_turns: int = 2  # rounds in which the long lists' stragglers meet members of the largest component
-    draws: int = 4  # members that each list draws for that
+    star_turns: int = 1  # rounds in which the long lists' stragglers meet members of the largest component
+    draws: int = 6  # members that each list draws for that
     max_long: int = 1_000_000  # at most so many shingles are put last (8 bytes each in the broadcast)
 
     def prefix(self, n: int) -> int:
