@@ -81,7 +81,7 @@ def main() -> None:
         return row
 
     extra["popularity"] = timed("popularity", lambda: evaluate(
-        recommend_popular(split.train, k, config.exclude_seen, config.candidate_multiplier)))
+        recommend_popular(split.train, k, config.exclude_seen)))
     extra["cooccurrence"] = timed("cooccurrence", lambda: evaluate(recommend_cooccurrence(
         split.train, k, config.max_items_per_user_for_pairs, config.top_similar_items_per_item)))
     users = split.relevant.select("visitorid").distinct()
@@ -92,7 +92,7 @@ def main() -> None:
         def partition_run(n=n):
             prepared = prepare_train_test(events, config, config.fractions[0], n)
             part = prepared.split
-            row = evaluate(recommend_popular(part.train, k, config.exclude_seen, config.candidate_multiplier),
+            row = evaluate(recommend_popular(part.train, k, config.exclude_seen),
                            part.relevant, catalog_size(part.train))
             part.release()
             return row

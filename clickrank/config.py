@@ -20,7 +20,7 @@ class RecConfig:
     k: int = 10
     exclude_seen: bool = True
     candidate_multiplier: int = 200
-    max_items_per_user_for_pairs: int = 100
+    max_items_per_user_for_pairs: int | None = None  # no cap; a number leaves out users with more items
     top_similar_items_per_item: int = 50
     als_ranks: tuple[int, ...] = (8, 16)
     als_reg_params: tuple[float, ...] = (0.05, 0.1)
@@ -29,7 +29,7 @@ class RecConfig:
     als_implicit_prefs: bool = True
     als_nonnegative: bool = True
     als_cold_start_strategy: str = "drop"
-    als_overfetch: int = 5
+    als_blocks: int = 10  # the factors' random start depends on it
     fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)
     partitions: tuple[int, ...] = (2, 4, 8, 16)
     models: tuple[str, ...] = ("popularity", "cooccurrence", "als")

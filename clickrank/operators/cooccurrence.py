@@ -26,29 +26,40 @@ from clickrank.operators.skew import hot_keys, key_counts, salted_join
 MAX_BROADCAST_NEIGHBOURS = 2_000_000
 
 
-def capped_histories(train: DataFrame, max_items: int, rows_bound: int | None = None) -> DataFrame:
-    """(visitorid, itemid) of users with at most ``max_items`` items.
+#: A history is joined with itself by blocks of about this many items.
+BLOCK_ITEMS = 1000
 
-    Sizes are counted per user (partial aggregation) and applied by a semi
-    join; a long history is streamed past, never buffered.
+
+def blocked_histories(train: DataFrame, max_items: int | None, rows_bound: int | None = None) -> DataFrame:
+    """(visitorid, itemid, blocks): the pairs, and the number of blocks of the user's history.
+
+    Sizes are counted per user (partial aggregation) and joined back; a long
+    history is streamed past, never buffered.  ``max_items`` leaves out users
+    with more items; without it all users stay.
     """
     pairs = train.select("visitorid", "itemid")
     sizes = pairs.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n"))
-    keep = sizes.where(F.col("n") <= max_items).select("visitorid")
-    return salted_join(pairs, keep, "visitorid", "left_semi",
-                       hot=hot_keys(sizes, "visitorid", rows_bound=rows_bound))
+    keep = sizes if max_items is None else sizes.where(F.col("n") <= max_items)
+    keep = keep.select("visitorid", F.ceil(F.col("n") / F.lit(BLOCK_ITEMS)).cast("int").alias("blocks"))
+    return salted_join(pairs, keep, "visitorid", "inner", hot=hot_keys(sizes, "visitorid", rows_bound=rows_bound))
 
 
-def pair_support_half(train: DataFrame, max_items: int = 100, rows_bound: int | None = None) -> DataFrame:
-    """J5 + A7 on unordered pairs: (item_a < item_b, support)."""
-    capped = capped_histories(train, max_items, rows_bound)
-    a = capped.select("visitorid", F.col("itemid").alias("item_a"))
-    b = capped.select("visitorid", F.col("itemid").alias("item_b"))
-    joined = a.join(b, "visitorid").where(F.col("item_a") < F.col("item_b"))
+def pair_support_half(train: DataFrame, max_items: int | None = None, rows_bound: int | None = None) -> DataFrame:
+    """J5 + A7 on unordered pairs: (item_a < item_b, support).
+
+    Both sides hash a user's items into blocks and meet block by block, so a
+    history of thousands of items is spread over many tasks.
+    """
+    own = blocked_histories(train, max_items, rows_bound)
+    block = F.pmod(F.hash("itemid"), F.col("blocks"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = own.select("visitorid", F.col("itemid").alias("item_a"), block.alias("block_a"), others.alias("block_b"))
+    b = own.select("visitorid", F.col("itemid").alias("item_b"), others.alias("block_a"), block.alias("block_b"))
+    joined = a.join(b, ["visitorid", "block_a", "block_b"]).where(F.col("item_a") < F.col("item_b"))
     return joined.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("similarity"))
 
 
-def pair_support(train: DataFrame, max_items: int = 100, rows_bound: int | None = None) -> DataFrame:
+def pair_support(train: DataFrame, max_items: int | None = None, rows_bound: int | None = None) -> DataFrame:
     """A7 + P16: ordered (itemid, candidate_itemid, similarity), self-pairs excluded."""
     half = pair_support_half(train, max_items, rows_bound)
     both = F.array(
@@ -121,7 +132,7 @@ def rank_candidates(scores: DataFrame, k: int) -> DataFrame:
     )
 
 
-def recommend_cooccurrence(train: DataFrame, k: int, max_items_per_user_for_pairs: int = 100,
+def recommend_cooccurrence(train: DataFrame, k: int, max_items_per_user_for_pairs: int | None = None,
                            top_similar_items_per_item: int = 50) -> RecList:
     """M2: users with no unseen candidate get no list."""
     if k <= 0:

@@ -32,9 +32,8 @@ def _bounded(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST_CANDIDATES else df
 
 
-def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True,
-                      candidate_multiplier: int = 200) -> RecList:
-    """M1: per train user, the first k of the global top-N not yet seen (N = max(k*mult, k)).
+def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True) -> RecList:
+    """M1: per train user, the first k of the global ranking not yet seen.
 
     Only seen items that are candidates matter, so per user we collect the
     candidate ranks it has seen (at most N, partially aggregated) instead of its
@@ -45,7 +44,9 @@ def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True,
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    n = max(k * candidate_multiplier, k)
+    # k + |seen| ranks are enough for any user, so no list is cut short by a prefix of the ranking
+    longest = train.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if exclude_seen else 0
+    n = max(k, k + (longest or 0))
     # at most n rows, read by both joins below: computed once (one scan and shuffle of train)
     cands = popular_candidates(train, n).select("cand_rank", "itemid").persist()
     n_cands = F.lit(n)

@@ -368,7 +368,7 @@ FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"
         ctes += c
         selects.append(s)
     q["scale_experiment"] = _with(*ctes) + "\nUNION ALL\n".join(selects)
-    c, s = _experiment_row("q_", "clean", 0.25)
+    c, s = _experiment_row("q_", "clean", 1.0)
     q["partition_invariance"] = _with(_raw("orders"), _clean(), *c) + "\nUNION ALL\n".join(
         f"SELECT {n} AS partitions, {n} AS shuffle_partitions, input_rows, precision, recall, map, ndcg, coverage "
         f"FROM ({s}) x"

@@ -91,14 +91,3 @@ def local_path(path: str) -> str | None:
     if "://" in path:
         return None
     return os.path.abspath(path)
-
-
-def size_local_shuffle(spark: SparkSession) -> None:
-    """In local mode, replace Spark's default 200 shuffle partitions by two per core.
-
-    Small local runs spend most of their time on empty shuffle partitions
-    otherwise; cluster sessions (and explicit non-default settings) are left
-    to the caller, who sizes partitions for the data.
-    """
-    if _is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions", "200") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickrank.session import CHECKPOINT_CONF, ensure_checkpoint_dir, scratch_path, size_local_shuffle
+from clickrank.session import CHECKPOINT_CONF, ensure_checkpoint_dir, scratch_path
 
 
 def test_checkpoint_dir_and_scratch(spark):
@@ -11,16 +11,3 @@ def test_checkpoint_dir_and_scratch(spark):
     assert spark.sparkContext.getCheckpointDir() is not None
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(base.rstrip("/") + "/x-")
-
-
-def test_local_shuffle_sizing_only_replaces_default(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        spark.conf.set("spark.sql.shuffle.partitions", "200")
-        size_local_shuffle(spark)
-        assert spark.conf.get("spark.sql.shuffle.partitions") == str(2 * spark.sparkContext.defaultParallelism)
-        spark.conf.set("spark.sql.shuffle.partitions", "37")
-        size_local_shuffle(spark)
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "37"
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)

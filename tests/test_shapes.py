@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from clickrank.operators.interactions import history_arrays
 from clickrank.operators.reclist import RecList, from_arrays
 from clickrank.operators.split import relevant_arrays
 
@@ -17,8 +16,7 @@ def test_reclist_arrays_keep_empty_lists_and_round_trip(spark):
     assert back.users.count() == 3
 
 
-def test_history_and_relevant_arrays(spark):
+def test_relevant_arrays(spark):
     pairs = spark.createDataFrame([(1, 5), (1, 7), (2, 5)], "visitorid int, itemid int")
-    hist = {r.visitorid: sorted(r.seen_items) for r in history_arrays(pairs).collect()}
     rel = {r.visitorid: sorted(r.relevant_items) for r in relevant_arrays(pairs).collect()}
-    assert hist == rel == {1: [5, 7], 2: [5]}
+    assert rel == {1: [5, 7], 2: [5]}
