@@ -51,7 +51,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else (lower() does just that where there is nothing beyond ASCII)."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words_of(text: Column, pattern: str = WORD) -> Column:
@@ -59,9 +59,9 @@ def words_of(text: Column, pattern: str = WORD) -> Column:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A content address of a row: equal rows share it, a null id or text differs from every other value."""
-    return F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(":"),
-                           F.when(F.col(text).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(text)))), 256)
+    """A 128-bit content address of a row: equal rows share it, a null id or text differs from every other value."""
+    parts = [F.col(doc_id), F.col(doc_id).isNull(), F.col(text), F.col(text).isNull()]
+    return F.concat_ws(":", F.xxhash64(*parts).cast("string"), F.xxhash64(F.lit(1), *parts).cast("string"))
 
 
 def fresh(columns: list[str], stem: str) -> str:
