@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh, let, lower_ascii, row_key, text_or_empty, words_of, written
 
-#: Letters, digits and everything beyond ASCII.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Letters, digits and everything beyond ASCII: the complement of [\x00-\x2F\x3A-\x60\x7B-\x7F], spelled out
+#: because Java matches a short positive class several times faster than a negated one.
+TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 #: The same tokens before A-Z are lower-cased.
-RAW_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_TOKEN = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]+"
 WINDOW = 13
 #: Words in the benchmark's windows up to which both sets are broadcast; beyond it the same joins shuffle.
 MAX_BROADCAST_WORDS = 5_000_000
