@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-#: A word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word: a run of anything but ASCII white space, \x20 and \x09-\x0D, which is what \S excludes in Java.
+WORD = r"\S+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,24 +81,28 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     """(node, root): the smallest node of each connected component, for the nodes of ``edges``.
 
     Alternates large-star and small-star steps, each a min-aggregate per node and a join back, and
-    writes the edges after each round.  No component is ever gathered in one place.
+    writes the edges after each round, until every edge leads from a child with no other edge to its root.
+    No component is ever gathered in one place.
     """
     pair = edges.select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u"))
     now = written(pair.where("u <> v").distinct(), "cc-edges")
-    nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
-    seen = None
-    while True:
+    while _unsettled(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "cc-edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left") \
-        .select("node", F.coalesce("root", "node").alias("root"))
+        # the edge to the smallest neighbour stays; the others turn into edges from that neighbour
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u") \
+            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = written(small.distinct(), "cc-edges")
+    # every node of a component of two or more keeps an edge, so the edges name all nodes
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")) \
+        .union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node of ``edges`` (u, v) has two parents, or a parent and children."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+        .union(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    met = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return met.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).count() > 0
