@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest ancestor directory.
 
-1. Every line of every text is a candidate.  Template words get their inverse document frequency from all
-   lines; words outside the templates count as seen once, which only lowers a cosine.
+1. Every line of every text is a candidate.  Every word gets its inverse document frequency from all lines: one
+   grouped count of (line, word), of which the templates' words come to the driver and the scored lines' are joined.
 2. For each template some words are indispensable: the others together are too light to reach the threshold.
    Lines without any such word can't match, so only lines with one are scored (no match is lost).
 3. The sparse vectors of these lines meet the templates' in an equi-join on the word; products are summed.
@@ -22,7 +22,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_key, text_or_empty, words_of, written
+from .common import keys, lower_ascii, row_key, text_or_empty, words_of, written
 from .decontaminate import TOKEN, count_tokens
 
 #: Short notices by SPDX identifier.
@@ -56,16 +56,20 @@ def _line_words(line: Column) -> Column:
     return words_of(lower_ascii(line), TOKEN)
 
 
-def template_weights(docs: DataFrame, templates=TEMPLATES) -> tuple[dict[str, dict[str, float]], float]:
-    """({template: {word: tf * idf}}, idf of any other word), from the lines of all texts."""
-    vocabulary = sorted({w for _, t in templates for w in _tokens(t)})
-    inside = F.filter(F.array_distinct(words_of(lower_ascii(F.col("line")), TOKEN)), lambda w: w.isin(vocabulary))
+def line_words(docs: DataFrame) -> DataFrame:
+    """(w, df): in how many lines of all texts each word stands; the word '' counts the lines."""
     lines = docs.select(F.explode(_lines()).alias("line"))
-    counts = lines.select(F.explode(F.concat(F.array(F.lit("")), inside)).alias("w")).groupBy("w").count().collect()
-    df = {r["w"]: r["count"] for r in counts}  # at most the templates' words, and '' for the lines
+    found = F.concat(F.array(F.lit("")), F.array_distinct(_line_words(F.col("line"))))
+    return written(lines.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")), "license-df")
+
+
+def template_weights(frequencies: DataFrame, templates=TEMPLATES) -> tuple[dict[str, dict[str, float]], int]:
+    """({template: {word: tf * idf}}, number of lines), from the document frequencies of ``line_words``."""
+    vocabulary = sorted({w for _, t in templates for w in _tokens(t)})
+    df = {r["w"]: r["df"] for r in frequencies.where(F.col("w").isin("", *vocabulary)).collect()}  # templates' words only
     n = df.get("", 0)
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    return {k: {w: c * idf[w] for w, c in Counter(_tokens(t)).items()} for k, t in templates}, math.log((1 + n) / 2) + 1
+    return {k: {w: c * idf[w] for w, c in Counter(_tokens(t)).items()} for k, t in templates}, n
 
 
 def _indispensable(weights: dict[str, dict[str, float]], threshold: float) -> set[str]:
@@ -85,9 +89,9 @@ def _indispensable(weights: dict[str, dict[str, float]], threshold: float) -> se
 def match_lines(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, line, n, license, score): the best template of each line that reaches the threshold; n counts its words."""
     spark = docs.sparkSession
-    weights, other = template_weights(docs, templates)
+    frequencies = line_words(docs)
+    weights, n_lines = template_weights(frequencies, templates)
     need = "|".join(sorted(_indispensable(weights, threshold)))
-    idf = {w: v / Counter(_tokens(dict(templates)[k]))[w] for k, own in weights.items() for w, v in own.items()}
     vectors = spark.createDataFrame([(k, w, v / math.sqrt(sum(x * x for x in own.values())))
                                      for k, own in sorted(weights.items()) for w, v in sorted(own.items())],
                                     "license string, w string, unit double")
@@ -97,12 +101,13 @@ def match_lines(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHO
         .where(F.col("t").rlike(hit)).distinct()
     words = some.select("key", "line", F.explode(_line_words(F.col("t"))).alias("w")).groupBy("key", "line", "w").count()
     words = written(words, "license-words")
-    table = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
-    weight = F.col("count") * F.coalesce("idf", F.lit(other))
-    norms = words.join(F.broadcast(table), "w", "left").groupBy("key", "line").agg(
-        F.sqrt(F.sum(weight * weight)).alias("norm"), F.sum("count").alias("n"))
-    dots = words.join(F.broadcast(table), "w").join(F.broadcast(vectors), "w").groupBy("key", "line", "license").agg(
-        F.sum(weight * F.col("unit")).alias("dot"))
+    # every word of a scored line has its own frequency; only the scored lines' words are kept of the table
+    idf = F.log((1 + F.lit(n_lines)) / (1 + F.col("df"))) + 1
+    table = keys(frequencies.join(words.select("w").distinct(), "w", "left_semi").select("w", idf.alias("idf")), "license-idf")
+    words = words.join(table, "w").withColumn("weight", F.col("count") * F.col("idf"))
+    norms = words.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.sum("count").alias("n"))
+    dots = words.join(F.broadcast(vectors), "w").groupBy("key", "line", "license").agg(
+        F.sum(F.col("weight") * F.col("unit")).alias("dot"))
     score = F.round(F.col("dot") / F.col("norm"), 6)
     best = dots.join(norms, ["key", "line"]).withColumn("score", score).where(F.col("score") >= threshold)
     return best.groupBy("key", "line", "n").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")) \

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clickrank.llm import (decontaminate, html_model, jaccard_join, license_scan, mixing, quality_rules, secret_scan,
                            site_quality, suffix_dedup, warc_zip)
-from clickrank.llm.common import connected_components
+from clickrank.llm.common import connected_components, row_key
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, row_key int"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -317,3 +318,36 @@ def test_licenses(spark):
     root = license_scan.scan_licenses(docs, path=F.when(F.col("doc_id") == 3, "b").when(F.col("doc_id") == 7, "z").otherwise("b/c/d"))
     assert {r.doc_id: r.from_dir for r in root.collect()}[5] == "b"
     assert license_scan.scan_licenses(empty(spark)).count() == 0
+
+
+def _line_scores(lines):
+    """{line: best cosine to a template}, each word with its own document frequency among ``lines``."""
+    tf = [Counter(license_scan._tokens(t)) for t in lines]
+    df = Counter(w for c in tf for w in c)
+
+    def vector(c):
+        return {w: n * (math.log((1 + len(lines)) / (1 + df[w])) + 1) for w, n in c.items()}
+
+    def cosine(a, b):
+        return sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    vectors = [vector(Counter(license_scan._tokens(t))) for _, t in license_scan.TEMPLATES]
+    return {t: max(cosine(vector(c), v) for v in vectors) for t, c in zip(lines, tf) if c}
+
+
+def test_license_line_weights(spark):
+    """A word outside the templates weighs by its own frequency, however many lines there are."""
+    notice = "This file is licensed under the Apache License, Version 2.0."
+    lines = [notice, "Released under the MIT License.", "a rare zyzzyva is licensed under the MIT license"]
+    lines += [f"plain line {i} file{' the' * (i % 10 == 0)}{' this is' * (i % 12 == 0)}" for i in range(300)]
+    lines += [f"{'the' if i % 10 == 0 else 'and'} license file licensed under apache version 2 0 mit released" for i in range(200)]
+    lines += [f"w{i}" for i in range(39_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::40]), "en", "a", 0, "x", 0) for i in range(40)], DOCS)
+    want = {t: s for t, s in _line_scores(lines).items() if s >= license_scan.THRESHOLD}
+    assert notice in want
+    texts = {lines[i + 40 * j]: (i, j) for i in range(40) for j in range(len(lines[i::40]))}
+    at = {r.key: r.doc_id for r in docs.select("doc_id", row_key().alias("key")).collect()}
+    got = {(at[r.key], r.line): r.score for r in license_scan.match_lines(docs).collect()}
+    for t, s in want.items():
+        assert got[texts[t]] == pytest.approx(s, abs=2e-6)
+    assert {texts[t] for t in want} <= set(got) and len({lines[i + 40 * j] for i, j in got}) == len(want)
