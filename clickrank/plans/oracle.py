@@ -146,11 +146,12 @@ def _popular(p: str, train: str, k: int = K, exclude_seen: bool = True) -> str:
   QUALIFY rank <= {k})"""
 
 
-def _cooc(p: str, train: str, k: int = K, cap: int = 100, top_n: int = 50) -> str:
+def _cooc(p: str, train: str, k: int = K, cap: int | None = 100, top_n: int = 50) -> str:
     """CTEs {p}pairs (itemid, candidate_itemid, similarity), {p}top, {p}scores, {p}recs, {p}users."""
+    users = "" if cap is None else f""" WHERE visitorid IN
+  (SELECT visitorid FROM {p}hist GROUP BY visitorid HAVING count(*) <= {cap})"""
     return f"""{p}hist AS (SELECT visitorid, itemid FROM {train}),
-{p}capped AS (SELECT * FROM {p}hist WHERE visitorid IN
-  (SELECT visitorid FROM {p}hist GROUP BY visitorid HAVING count(*) <= {cap})),
+{p}capped AS (SELECT * FROM {p}hist{users}),
 {p}half AS (
   SELECT a.itemid AS ia, b.itemid AS ib, count(*) AS similarity
   FROM {p}capped a JOIN {p}capped b ON a.visitorid = b.visitorid AND a.itemid < b.itemid
@@ -341,7 +342,9 @@ FROM train"""
     q["popular_list_sizes"] = _with(_base("events"), _popular("", "train")) + """
 SELECT u.visitorid, CAST(count(r.itemid) AS INTEGER) AS list_size
 FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"""
-    q["pair_support"] = _with(_base("orders"), _cooc("", "train", cap=30)) + \
+    q["pair_support"] = _with(_base("orders"), _cooc("", "train", cap=None)) + \
+        "SELECT itemid, candidate_itemid, similarity FROM pairs"
+    q["pair_support_cap30"] = _with(_base("orders"), _cooc("", "train", cap=30)) + \
         "SELECT itemid, candidate_itemid, similarity FROM pairs"
     q["top_similar"] = _with(_base("orders"), _cooc("", "train")) + \
         "SELECT itemid, candidate_itemid, similarity FROM top"

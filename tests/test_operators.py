@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+from collections import Counter
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from clickrank.operators.evaluate import catalog_size, evaluate_recommendations
 from clickrank.operators.interactions import deterministic_user_sample, support_filter
 from clickrank.operators.popularity import recommend_popular
 from clickrank.operators.split import build_train_test, exact_cutoff
+from clickrank.plans import queries
 from clickrank.sources import orders_fixture
 
 from .conftest import SF_SMALL
@@ -78,6 +80,16 @@ def test_pair_support_matches_brute_force(spark, split):
     assert got == expected
 
 
+def test_registered_pair_support_has_every_user(spark):
+    hist = {}
+    for r in queries.split(spark, SF_SMALL, "orders").train.select("visitorid", "itemid").collect():
+        hist.setdefault(r.visitorid, set()).add(r.itemid)
+    assert max(map(len, hist.values())) > queries.PAIR_CAP
+    expected = Counter(p for items in hist.values() for p in permutations(items, 2))
+    rows = queries.QUERIES["pair_support"](spark, SF_SMALL).collect()
+    assert {(r.itemid, r.candidate_itemid): r.similarity for r in rows} == expected
+
+
 def test_cooccurrence_lists_are_unseen_and_ranked(spark, split):
     recs = recommend_cooccurrence(split.train, 5)
     assert recs.long.join(split.train, ["visitorid", "itemid"]).count() == 0
