@@ -335,6 +335,34 @@ def _line_scores(lines):
     return {t: max(cosine(vector(c), v) for v in vectors) for t, c in zip(lines, tf) if c}
 
 
+def test_license_passages(spark):
+    """Wrapped headers, notices inside a line, and whole licence files with their directories."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 500)}" for _ in range(n))
+    body, notice = dict(license_scan.bodies()), dict(license_scan.TEMPLATES)
+    head = notice["BSD-3-Clause"].replace("with or without ", "with or without\n# ")
+    mit = body["MIT"].replace("<year> <copyright holders>", "2020 Some Author and others")
+    rows = [(1, prose(40) + "\n# " + head + "\n" + prose(200), "hdr"), (2, f"{prose(90)} {notice['MPL-2.0']} {prose(90)}", "flat"),
+            (3, mit, "mit"), (4, prose(30), "mit"), (5, body["GPL-3.0"], "gpl"), (6, body["AGPL-3.0"], "agpl"),
+            (7, body["BSD-2-Clause"], "bsd2"), (8, "/*\n" + mit + "*/\n" + prose(900), "src"), (9, prose(300), "plain"),
+            (10, body["Apache-2.0"].replace("\n", " "), "apache"), (11, prose(9) + "\n" + prose(9), "apache/sub")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, "x", 0) for i, t, s in rows], DOCS)
+    out = license_scan.scan_licenses(docs, path=F.col("source")).collect()
+    assert {r.doc_id: (r.license, r.origin) for r in out} == {
+        1: ("BSD-3-Clause", "header"), 2: ("MPL-2.0", "header"), 3: ("MIT", "file"), 4: ("MIT", "inherited"), 5: ("GPL-3.0", "file"),
+        6: ("AGPL-3.0", "file"), 7: ("BSD-2-Clause", "file"), 8: ("MIT", "header"), 9: (None, None), 10: ("Apache-2.0", "file"),
+        11: ("Apache-2.0", "inherited")}
+    # the best run of text 8 against brute force
+    lines = [Counter(license_scan._tokens(x)) for _, t, _ in rows for x in t.split("\n")]
+    df = Counter(w for c in lines for w in c)
+    vector = lambda ws: {w: n * (math.log((1 + len(lines)) / (1 + df[w])) + 1) for w, n in Counter(ws).items()}
+    t, words = vector(license_scan._tokens(body["MIT"])), license_scan._tokens(rows[7][1])
+    m = len(license_scan._tokens(body["MIT"]))
+    cosine = lambda a: sum(v * t.get(w, 0) for w, v in a.items()) / math.sqrt(
+        sum(v * v for v in a.values()) * sum(v * v for v in t.values()))
+    assert next(r.score for r in out if r.doc_id == 8) == pytest.approx(max(cosine(vector(words[i:i + m])) for i in range(len(words) - m + 1)), abs=2e-6)
+
+
 def test_license_line_weights(spark):
     """A word outside the templates weighs by its own frequency, however many lines there are."""
     notice = "This file is licensed under the Apache License, Version 2.0."
