@@ -1,6 +1,7 @@
 """Mixing sources to target weights: hierarchical token budgets over a domain / language / source tree.
 
 1. Tokens per leaf, one grouped aggregate; a node's capacity is its tokens times ``max_epochs``.
+   Leaves below a weight of 0 count as 0.
 2. Top down, each node's budget is poured over its children in proportion to their weights.  A child that
    can't take its share is filled, and the rest goes to its siblings first; only what no sibling can take
    reaches the next level up (as the parent's own capacity is the sum of its children's).  The children
@@ -85,7 +86,9 @@ def _pour(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """domain, language, source, tokens, budget, epochs, rest from (domain, language, source, tokens)."""
-    leaves = leaves.withColumn("cap", _long(F.col("tokens") * config.max_epochs))
+    # a leaf below a weight of 0 takes nothing, so it adds nothing to the capacity of the nodes above it
+    open_ = F.least(*[_weight(level, weights) for level, weights in zip(LEVELS, (config.domains, config.languages, config.sources))]) > 0
+    leaves = leaves.withColumn("cap", _long(F.when(open_, F.col("tokens") * config.max_epochs).otherwise(0)))
     total = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap"))
     target = F.lit(config.target_tokens) if config.target_tokens is not None else F.floor(
         F.col("tokens") * config.target_permille / 1000)

@@ -136,6 +136,14 @@ def test_siblings_take_a_shortage_first(spark):
     assert got == {"1": 10, "2": 190, "3": 200, "4": 400}  # source 2 takes what source 1 lacks, nobody else
 
 
+def test_weights_of_zero_pass_their_share_on(spark):
+    leaves = spark.createDataFrame([("a", "de", "1", 1000), ("b", "en", "2", 1000), ("b", "de", "3", 1000), ("c", "en", "4", 100), ("c", "en", "5", 1000)],
+                                   "domain string, language string, source string, tokens long")
+    config = mixing.MixConfig(domains={}, languages={"de": 0}, sources={"5": 0}, target_tokens=900, max_epochs=1)
+    got = {r.source: r.budget for r in mixing.leaf_budgets(leaves, config).collect()}
+    assert got == {"1": 0, "2": 800, "3": 0, "4": 100, "5": 0}  # domain a has nothing to give, c only 100
+
+
 def test_html():
     model = html_model.TreeModel()
     for nodes, labels in html_model.bundled_pages():
