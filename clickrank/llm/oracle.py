@@ -124,3 +124,31 @@ reach AS (SELECT r, r AS x FROM w UNION SELECT reach.r, links.b FROM reach JOIN
 SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
 FROM w JOIN reach USING (r) JOIN w o ON o.r = reach.x LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
 """
+
+
+def _cluster_sql(rounds: int = 3, k: int = 16) -> str:
+    ctes = [f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0)""",
+            "x AS (SELECT r, unnest(range(1, 65)) AS d, unnest(v) AS x FROM kept)",
+            f"""c0 AS (
+  SELECT c, unnest(range(1, 65)) AS d, unnest(v) AS y
+  FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c FROM kept) WHERE c < {k})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS (
+  SELECT r, c, dist FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dist, c) AS place
+    FROM (SELECT r, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS dist FROM x JOIN c{i} USING (d) GROUP BY r, c)) WHERE place = 1)""")
+        ctes.append(f"""c{i + 1} AS (
+  SELECT c, d, coalesce(y1, y) AS y FROM c{i} LEFT JOIN (
+    SELECT c, d, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS y1
+    FROM (SELECT c, d, sum(x) AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY c, d)) USING (c, d))""")
+    return f"""
+WITH {", ".join(ctes)},
+h AS (SELECT c, sha256(string_agg(y, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN h USING (c)
+"""
+
+
+SQL["op13_lookup_clusters"] = _cluster_sql()
