@@ -152,3 +152,26 @@ FROM a{rounds} JOIN kept USING (r) JOIN h USING (c)
 
 
 SQL["op13_lookup_clusters"] = _cluster_sql()
+
+SQL["op12_pair_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+c AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(c.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM p, c GROUP BY term),
+m AS (SELECT r, doc_id, 75 + (25 * len(t) * c.n) // c.l AS m FROM d, c WHERE len(t) > 0),
+b AS (
+  SELECT q, any_value(item_id) AS item_id, term, count(*) AS times FROM (
+    SELECT q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT *, row_number() OVER () AS q FROM (SELECT DISTINCT item_id, text FROM benchmark))) GROUP BY q, term),
+s AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM b JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY q, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
+"""

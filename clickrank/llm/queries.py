@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, html_model, jaccard_join, license_scan, lookup_clusters, mixing, quality_rules, secret_scan,
-               site_quality, suffix_dedup, warc_zip)
+from . import (decontaminate, html_model, jaccard_join, license_scan, lookup_clusters, mixing, pair_search, quality_rules,
+               secret_scan, site_quality, suffix_dedup, warc_zip)
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_pair_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    index = pair_search.build_index(table(spark, sf_dir, "documents"))
+    return pair_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op13_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen clusters of every usable vector after three rounds."""
     return lookup_clusters.cluster(table(spark, sf_dir, "embeddings"))
@@ -73,4 +79,4 @@ def op13_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_suffix_dedup, op3_mix_sources, op4_html_extract, op5_ngram_jaccard, op6_warc_zip,
-    op7_decontaminate, op8_site_quality, op9_secret_scan, op10_license_scan, op13_lookup_clusters)}
+    op7_decontaminate, op8_site_quality, op9_secret_scan, op10_license_scan, op12_pair_search, op13_lookup_clusters)}
