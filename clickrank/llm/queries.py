@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, html_model, jaccard_join, license_scan, lookup_clusters, mixing, pair_search, quality_rules,
+from . import (decontaminate, html_model, jaccard_join, kneser_ney, license_scan, lookup_clusters, mixing, pair_search, quality_rules,
                secret_scan, site_quality, suffix_dedup, warc_zip)
 from .common import table
 
@@ -66,6 +66,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those that aren't held out; doubles rounded to 6 digits."""
+    rows = kneser_ney.score_held_out(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op12_pair_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     index = pair_search.build_index(table(spark, sf_dir, "documents"))
@@ -79,4 +85,4 @@ def op13_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_suffix_dedup, op3_mix_sources, op4_html_extract, op5_ngram_jaccard, op6_warc_zip,
-    op7_decontaminate, op8_site_quality, op9_secret_scan, op10_license_scan, op12_pair_search, op13_lookup_clusters)}
+    op7_decontaminate, op8_site_quality, op9_secret_scan, op10_license_scan, op11_kneser_ney, op12_pair_search, op13_lookup_clusters)}
