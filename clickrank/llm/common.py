@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,18 @@ def keys(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Within it, jobs hand Python workers so many rows at a time: for tables whose rows are large.  Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """``body`` over ``value`` as a lambda variable, so that ``value`` is computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

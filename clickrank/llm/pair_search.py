@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import rows_per_batch, written
 
 #: Terms are runs of ASCII letters and digits and of everything beyond ASCII, A-Z in lower case.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -48,6 +48,7 @@ class SearchConfig:
     block_bytes: int = 1 << 20
     block_docs: int = 4096
     set_terms: int = 100_000  # terms of the queries that are answered in one pass
+    batch_blocks: int = 8  # blocks that a worker is handed at a time
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -328,11 +329,13 @@ def search(index: DataFrame, queries: DataFrame, config: SearchConfig = SearchCo
             df = document_frequencies(index, terms).tolist()
             return np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) if d else 0 for d in df], np.int64)
 
-        q = _Queries(rows, weigh)
-        lists = _impact_lists(index, q, n_docs, n_terms)
+        with rows_per_batch(spark, config.batch_blocks):
+            q = _Queries(rows, weigh)
+            lists = _impact_lists(index, q, n_docs, n_terms)
         floors = q.floors(_kth(lists, "have", "best", len(q.terms), config.k), _kth(lists, "met", "joint", len(q.pairs), config.k))
         names = spark.createDataFrame([(i, x) for i, x in enumerate(q.ids)], f"q int, item_id {item}")
-        best = _best_of_blocks(lists, q, floors, config.k, kind)
+        with rows_per_batch(spark, config.batch_blocks):
+            best = written(_best_of_blocks(lists, q, floors, config.k, kind), "search-best")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
         best = best.withColumn("rank", rank).where(F.col("rank") <= config.k)
         found.append(best.join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score"))
