@@ -1,4 +1,4 @@
-"""Global popularity recommender (A4, L1, L2, M1)."""
+"""Global popularity recommender (A4, L1, L2, M1) on a ranking that no single task holds."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from clickrank.functions.columns import exact_score
 from clickrank.operators.reclist import RecList
+from clickrank.operators.skew import salted_join
+from clickrank.session import scratch_path
 
-# Candidate rows above this many are not broadcast (about 16 bytes per row).
-MAX_BROADCAST_CANDIDATES = 2_000_000
+#: Ranks of one block: what is gathered of a user at a time.
+BLOCK_RANKS = 1024
 
 
 def item_popularity(train: DataFrame) -> DataFrame:
@@ -17,57 +19,87 @@ def item_popularity(train: DataFrame) -> DataFrame:
     return train.groupBy("itemid").agg(F.sum(exact_score("score")).alias("item_score"))
 
 
-def popular_candidates(train: DataFrame, n: int) -> DataFrame:
-    """L1: the global top-n items as (cand_rank, itemid), score desc then itemid asc.
+def popularity_ranks(train: DataFrame) -> DataFrame:
+    """L1, whole: (cand_rank, itemid, item_score) of every item, score desc then itemid asc, from 1.
 
-    ``orderBy().limit(n)`` plans as TakeOrderedAndProject (per-partition top-n
-    then a merge); n is a parameter, so the ranked result is size-bounded.
+    The items are dealt into ranges of the order and written with the number of their range; the ranges' counts give
+    each its offset, and rows are numbered inside each range.  No task sorts more than a range.
     """
-    top = item_popularity(train).orderBy(F.desc("item_score"), F.asc("itemid")).limit(n)
-    order = Window.orderBy(F.desc("item_score"), F.asc("itemid"))
-    return top.select(F.row_number().over(order).alias("cand_rank"), "itemid", "item_score")
+    spark = train.sparkSession
+    order = [F.desc("item_score"), F.asc("itemid")]
+    scores = item_popularity(train)
+    path = scratch_path(spark, "popularity-ranges")
+    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000))
+    dealt = scores.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    ranged = spark.read.schema(dealt.schema).parquet(path)
+    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+    before, offsets = 0, []
+    for number in sorted(sizes):
+        offsets += [F.lit(number), F.lit(before)]
+        before += sizes[number]
+    offset = F.create_map(*offsets)[F.col("range")] if offsets else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.select((place + offset).cast("int").alias("cand_rank"), "itemid", "item_score")
+
+
+def popular_candidates(train: DataFrame, n: int) -> DataFrame:
+    """L1: the global top-n items as (cand_rank, itemid, item_score)."""
+    return popularity_ranks(train).where(F.col("cand_rank") <= n)
+
 
+def first_gaps(seen: DataFrame, k: int, block: int = BLOCK_RANKS) -> DataFrame:
+    """(visitorid, rank, cand_rank): the first k positive numbers that are not among a user's ``seen`` (visitorid,
+    cand_rank), and their places from 1.
 
-def _bounded(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= MAX_BROADCAST_CANDIDATES else df
+    Ranks are taken by blocks of ``block``.  What is left free by a user's blocks up to one follows from running
+    counts, so that only its blocks with some of the first k free ranks are looked into; the runs between the blocks,
+    and after the last one, are free as a whole.  A user who has seen half of all ranks is a few numbers for each
+    block, never one list.
+    """
+    blocks = seen.select("visitorid", "cand_rank", F.floor((F.col("cand_rank") - 1) / F.lit(block)).cast("int").alias("block")) \
+        .groupBy("visitorid", "block").agg(F.collect_set("cand_rank").alias("held"))  # at most ``block`` ranks
+    by_user = Window.partitionBy("visitorid").orderBy("block")
+    taken = F.size("held").cast("long")
+    before = F.coalesce(F.sum(taken).over(by_user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = blocks.select("visitorid", "block", "held", (F.col("block").cast("long") * block - before).alias("free"),
+                         F.lag("block", 1, -1).over(by_user).alias("last"), F.lead("block").over(by_user).alias("next"))
+    # free ranks inside the block; the run of free blocks before it; after the last block, the run that has no end
+    start = F.col("block") * block
+    inside = F.when(F.col("free") < k, F.slice(F.array_except(F.sequence(start + 1, start + block), "held"), 1, k))
+    ahead = F.least(F.lit(k).cast("long"), F.col("free"))
+    gap = (start - (F.col("last") + 1) * block).cast("long")
+    run = F.when((gap > 0) & (F.col("free") - gap < k), F.transform(
+        F.sequence(F.lit(1).cast("long"), F.least(gap, F.lit(k).cast("long") - (F.col("free") - gap))),
+        lambda i: ((F.col("last") + 1) * block + i).cast("int")))
+    after = F.col("free") + block - F.size("held")
+    tail = F.when(F.col("next").isNull() & (after < k), F.transform(
+        F.sequence(F.lit(1).cast("long"), F.lit(k) - after), lambda i: (start + block + i).cast("int")))
+    pieces = F.array(F.struct((F.col("free") - gap).alias("at"), run.alias("ranks")), F.struct(F.col("free").alias("at"), inside.alias("ranks")),
+                     F.struct(after.alias("at"), tail.alias("ranks")))
+    out = told.where(F.col("free") - gap < k).select("visitorid", F.explode(pieces).alias("p")).where("p.ranks is not null")
+    return out.select("visitorid", "p.at", F.posexplode("p.ranks").alias("pos", "cand_rank")) \
+        .select("visitorid", (F.col("at") + F.col("pos") + 1).cast("int").alias("rank"), "cand_rank").where(F.col("rank") <= k)
 
 
 def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True) -> RecList:
     """M1: per train user, the first k of the global ranking not yet seen.
 
-    Only seen items that are candidates matter, so per user we collect the
-    candidate ranks it has seen (at most N, partially aggregated) instead of its
-    whole history, take the first k ranks of 1..min(N, k+|seen|) that are not
-    among them, and map ranks back to items with an equi-join on the
-    size-bounded candidate table.  Every train user gets a row, even when its
-    list is short or empty.
+    The seen items' ranks come from an equi-join (hot items salted), the first unseen ranks of each user from
+    ``first_gaps``, and their items from an equi-join back (hot ranks salted).  Every train user gets a row, even when
+    its list is short or empty.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    # k + |seen| ranks are enough for any user, so no list is cut short by a prefix of the ranking
-    longest = train.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if exclude_seen else 0
-    n = max(k, k + (longest or 0))
-    # at most n rows, read by both joins below: computed once (one scan and shuffle of train)
-    cands = popular_candidates(train, n).select("cand_rank", "itemid").persist()
-    n_cands = F.lit(n)
+    ranks = popularity_ranks(train).select("cand_rank", "itemid")
     pairs = train.select("visitorid", "itemid")
-    if exclude_seen:
-        seen = (
-            pairs.join(_bounded(cands, n), "itemid", "left")
-            .groupBy("visitorid")
-            .agg(F.collect_list("cand_rank").alias("seen_ranks"))
-        )
-        upper = F.least(n_cands, F.lit(k) + F.size("seen_ranks"))
-        ranks = F.slice(F.array_except(F.sequence(F.lit(1), upper), "seen_ranks"), 1, k)
-        users = seen.select("visitorid")
-    else:
-        seen = pairs.select("visitorid").distinct()
-        ranks = F.sequence(F.lit(1), F.lit(k))
-        users = seen
-    # ranks beyond the number of existing candidates (small catalogue) find no partner in the
-    # join below; they sort after every real rank, so the kept positions stay dense from 1
-    picked = seen.select("visitorid", F.posexplode(ranks).alias("pos", "cand_rank"))
-    long = picked.join(_bounded(cands, n), "cand_rank").select(
-        "visitorid", (F.col("pos") + 1).alias("rank"), "itemid"
-    )
-    return RecList(long, users, (cands,))
+    users = pairs.select("visitorid").distinct()
+    if not exclude_seen:
+        top = F.broadcast(ranks.where(F.col("cand_rank") <= k))  # k rows
+        picked = users.select("visitorid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("cand_rank"))
+        return RecList(picked.join(top, "cand_rank").select("visitorid", F.col("cand_rank").alias("rank"), "itemid"), users)
+    ranks = ranks.persist()  # read by both joins
+    picked = first_gaps(salted_join(pairs, ranks, "itemid").select("visitorid", "cand_rank"), k)
+    # ranks beyond the number of items (small catalogue) find no partner; they come after all real ones
+    long = salted_join(picked, ranks, "cand_rank").select("visitorid", "rank", "itemid")
+    return RecList(long, users, (ranks,))
