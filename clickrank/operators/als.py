@@ -41,7 +41,7 @@ def fit_grid(train: DataFrame, grid: list[ALSSettings]) -> list[ALSModel]:
 
 
 def recommend_from_model(model: ALSModel, train: DataFrame, users: DataFrame, k: int,
-                         exclude_seen: bool = True, rows_bound: int | None = None) -> RecList:
+                         exclude_seen: bool = True) -> RecList:
     """L3 + J6 + J8: the best k unseen items of each known user, in one scoring pass (see ``masked_top_k``).
 
     Users unknown to the model get no list.
@@ -51,7 +51,7 @@ def recommend_from_model(model: ALSModel, train: DataFrame, users: DataFrame, k:
     known = model.userFactors.select(F.col("id").alias("visitorid"), "features").join(
         users.select("visitorid").distinct(), "visitorid", "left_semi")
     items = model.itemFactors.select(F.col("id").alias("itemid"), "features")
-    best = masked_top_k(known, items, train if exclude_seen else None, k, rows_bound=rows_bound)
+    best = masked_top_k(known, items, train if exclude_seen else None, k, rows_bound=train.count() if exclude_seen else 0)
     return RecList(best.select("visitorid", "rank", "itemid"), known.select("visitorid"))
 
 

@@ -105,7 +105,7 @@ def masked_top_k(users: DataFrame, items: DataFrame, seen: DataFrame | None, k:
                 elif kind == SEEN:
                     held.append(b.column("visitorid").to_numpy())
                     masked.append(b.column("itemid").to_numpy())
-                elif ids:
+                elif table is not None or ids:
                     if table is None:
                         ids, table = np.concatenate(ids), np.concatenate(factors).T
                         held = np.concatenate(held) if held else np.zeros(0, np.int32)

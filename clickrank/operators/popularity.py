@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clickrank.functions.columns import exact_score
 from clickrank.operators.reclist import RecList
-from clickrank.operators.skew import salted_join
+from clickrank.operators.skew import hot_keys, salted_join
 from clickrank.session import scratch_path
 
 #: Ranks of one block: what is gathered of a user at a time.
@@ -86,7 +86,8 @@ def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True) -> Re
     """M1: per train user, the first k of the global ranking not yet seen.
 
     The seen items' ranks come from an equi-join (hot items salted), the first unseen ranks of each user from
-    ``first_gaps``, and their items from an equi-join back (hot ranks salted).  Every train user gets a row, even when
+    ``first_gaps`` over the part of its history that can matter, and their items from an equi-join back (hot ranks
+    salted).  Every train user gets a row, even when
     its list is short or empty.
     """
     if k <= 0:
@@ -99,7 +100,14 @@ def recommend_popular(train: DataFrame, k: int, exclude_seen: bool = True) -> Re
         picked = users.select("visitorid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("cand_rank"))
         return RecList(picked.join(top, "cand_rank").select("visitorid", F.col("cand_rank").alias("rank"), "itemid"), users)
     ranks = ranks.persist()  # read by both joins
-    picked = first_gaps(salted_join(pairs, ranks, "itemid").select("visitorid", "cand_rank"), k)
+    # one small job, which bounds the rows of every join below and so spares small inputs the search for hot keys
+    rows, n_users = train.agg(F.count(F.lit(1)), F.count_distinct("visitorid")).first()
+    held = salted_join(pairs, ranks, "itemid", rows_bound=rows).select("visitorid", "cand_rank")
+    # of a user with n seen items, the first k free ranks are among the first n + k; a rank to name the user stays
+    need = held.groupBy("visitorid").agg(F.count(F.lit(1)).alias("n"), F.min("cand_rank").alias("least"))
+    near = salted_join(held, need, "visitorid", hot=hot_keys(need, "visitorid", rows_bound=rows)) \
+        .where((F.col("cand_rank") <= F.col("n") + k) | (F.col("cand_rank") == F.col("least")))
+    picked = first_gaps(near.select("visitorid", "cand_rank"), k)
     # ranks beyond the number of items (small catalogue) find no partner; they come after all real ones
-    long = salted_join(picked, ranks, "cand_rank").select("visitorid", "rank", "itemid")
+    long = salted_join(picked, ranks, "cand_rank", rows_bound=n_users * k).select("visitorid", "rank", "itemid")
     return RecList(long, users, (ranks,))

@@ -18,8 +18,17 @@ def brute(users, items, seen, k):
     return out
 
 
+@pytest.fixture(params=["10000", "7"])
+def batches(spark, request):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"  # a cell's rows may come in many batches
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("size", [BlockSize(), BlockSize(7, 11, 3), BlockSize(1000, 1, 1)])
-def test_masked_top_k(spark, size):
+def test_masked_top_k(spark, size, batches):
     rng = np.random.default_rng(4)
     # small integers, so that products tie often; one user has seen all but two items, one everything, one nothing
     users = {u: rng.integers(0, 3, 4).astype(float).tolist() for u in range(40)} | {90: [0.0] * 4}
