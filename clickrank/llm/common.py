@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -77,6 +77,20 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.concat_ws(":", F.xxhash64(*parts).cast("string"), F.xxhash64(F.lit(1), *parts).cast("string"))
 
 
+def merged_runs(spans: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(key, runs): the maximal runs [start, end) that a key's spans cover, in order; spans that touch become one run.
+
+    Running maxima and sums over the sorted spans, so a key with n spans costs n log n.
+    """
+    upto = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.when(F.coalesce(F.max(end).over(upto) >= F.col(start), F.lit(False)), 0).otherwise(1)
+    runs = spans.select(key, F.col(start).alias("start"), F.col(end).alias("end"), begins.alias("begins")) \
+        .withColumn("run", F.sum("begins").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)))
+    return runs.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")) \
+        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
 def fresh(columns: list[str], stem: str) -> str:
     """A column name that is not among ``columns`` (Spark compares names without case)."""
     taken = {c.lower() for c in columns}

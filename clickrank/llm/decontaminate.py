@@ -3,8 +3,9 @@
 The n-grams of the benchmark form two broadcast sets, both bounded by the benchmark's words: the seeds
 (hashes of m-word pieces of the windows) and the windows themselves.  A text is scanned at every ``step``-th
 word only, m = ceil(shortest window / 2) and step = shortest - m + 1: any window inside the text holds an
-aligned m-word piece, so no hit is lost.  Pieces that hit a seed expand the windows around them, and an
-equi-join on the window text verifies each hit.  No Python runs on the executors.
+aligned m-word piece, so no hit is lost.  What is scanned is hashes alone; of the texts with a hashed hit, the words
+around the hit pieces are fetched, and an equi-join on the window text verifies each hit.  No Python runs on the
+executors.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; benchmark items that
 are null, empty or without words have no window; repeated items count per item_id; an item without an id is
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let, lower_ascii, row_key, text_or_empty, words_of, written
+from .common import fresh, keys, let, lower_ascii, merged_runs, row_key, text_or_empty, words_of, written
 
 #: Letters, digits and everything beyond ASCII: the complement of [\x00-\x2F\x3A-\x60\x7B-\x7F], spelled out
 #: because Java matches a short positive class several times faster than a negated one.
@@ -66,16 +67,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     reach = most - m  # words before a piece that a window around it can take in
 
     def pieces(w: Column) -> Column:
-        """Each scanned piece: where it starts, its hash, and the words that windows around it can cover."""
+        """Where each scanned piece starts, and its hash."""
         at = F.when(F.size(w) >= m, F.sequence(F.lit(0), F.size(w) - m, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(
-            i.alias("i"), _piece(w, i, m).alias("h"),
-            F.slice(w, F.greatest(F.lit(0), i - reach) + 1, F.least(i, F.lit(reach)) + most).alias("near")))
+        return F.transform(at, lambda i: F.struct(i.alias("i"), _piece(w, i, m).alias("h")))
 
-    scanned = docs.select(row_key().alias("key"), F.explode(let(tokens(), pieces)).alias("p")).select("key", "p.*")
     if sizes["words"] <= MAX_BROADCAST_WORDS:
         seeds = F.broadcast(seeds)
-    seen = scanned.join(seeds, "h", "left_semi").select("key", "i", "near", F.least("i", F.lit(reach)).alias("lead"))
+    scanned = docs.select(row_key().alias("key"), F.explode(let(tokens(), pieces)).alias("p")).select("key", "p.*")
+    hit = written(scanned.join(seeds, "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("i")).alias("at")), "benchmark-seen")
+    texts = docs.select(row_key().alias("key"), "text").join(keys(hit.select("key"), "benchmark-hit-keys"), "key", "left_semi")
+
+    def around(w: Column) -> Column:
+        """Of each hit piece: where it starts, the words that windows around it can cover, and where in these it is."""
+        return F.transform(F.col("at"), lambda i: F.struct(
+            i.alias("i"), F.least(i, F.lit(reach)).alias("lead"),
+            F.slice(w, F.greatest(F.lit(0), i - reach) + 1, F.least(i, F.lit(reach)) + most).alias("near")))
+
+    seen = texts.join(hit, "key").select("key", F.explode(let(tokens(), around)).alias("p")).select("key", "p.*")
 
     def windows(n: int) -> Column:
         """The n-word windows within ``near`` that hold the piece, which starts at its word ``lead``."""
@@ -136,18 +144,20 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     The text around the removed runs is kept as it is; hit texts are rebuilt from the pieces between tokens.
     """
-    hits = written(_per_text(find_hits(docs, benchmark, window)).select("key", "spans"), "benchmark-hits")
-    key, spans = fresh(docs.columns, "row_key"), fresh(docs.columns, "spans")
-    out = docs.withColumn(key, row_key()).join(hits.select(F.col("key").alias(key), F.col("spans").alias(spans)), key, "left")
-
-    def rebuilt(p: Column) -> Column:
-        # p.gap[i] stands before p.word[i]; a hit word goes, and so does the gap after it
-        hit = let(F.array_distinct(F.flatten(F.transform(F.col(spans), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))),
-                  lambda h: F.transform(p["word"], lambda x, i: F.array_contains(h, i)))
-        return let(hit, lambda h: F.array_join(F.transform(p["gap"], lambda g, i: F.concat(
-            F.when((i > 0) & F.coalesce(F.get(h, i - 1), F.lit(False)), F.lit("")).otherwise(g),
-            F.when(F.coalesce(F.get(h, i), F.lit(True)), F.lit("")).otherwise(F.coalesce(F.get(p["word"], i), F.lit(""))))), ""))
-
-    pieces = F.struct(F.split("text", RAW_TOKEN, -1).alias("gap"), words_of(F.col("text"), RAW_TOKEN).alias("word"))
-    return out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(let(pieces, rebuilt))) \
-        .select(*docs.columns)
+    hits = find_hits(docs, benchmark, window).select("key", "at", (F.col("at") + F.col("n")).alias("to")).distinct()
+    hits = written(merged_runs(hits, "key", "at", "to"), "benchmark-runs")
+    key, runs = fresh(docs.columns, "row_key"), fresh(docs.columns, "runs")
+    out = docs.withColumn(key, row_key()).join(hits.select(F.col("key").alias(key), F.col("runs").alias(runs)), key, "left")
+    # gaps and words in turn, a gap first: the words of a run [start, end) and the gaps after them are the places from
+    # 2 start + 1 to 2 end, counted from 0; what stands between the runs is cut out as slices
+    gaps, words = F.split("text", RAW_TOKEN, -1), words_of(F.col("text"), RAW_TOKEN)
+    flat = let(words, lambda w: F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.get(w, i)))))
+
+    def kept(parts: Column) -> Column:
+        def piece(i: Column) -> Column:
+            start = F.when(i > 0, 2 * F.get(F.col(runs), i - 1)["end"] + 1).otherwise(F.lit(0))
+            end = F.when(i < F.size(runs), 2 * F.get(F.col(runs), i)["start"] + 1).otherwise(F.size(parts))
+            return F.slice(parts, start + 1, end - start)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), piece)), "")
+
+    return out.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(let(flat, kept))).select(*docs.columns)
