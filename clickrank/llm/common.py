@@ -28,9 +28,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _opened[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of scratch tables, by the ``scratch`` blocks that are open; those outside of any stay.
+_opened: list[list[str]] = [[]]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """The tables that ``written`` writes within the block are deleted at its end: for steps whose result is written
+    elsewhere, so that nothing reads them later."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        for path in _opened.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(spark: SparkSession, name: str, step) -> DataFrame:
+    """What ``step()`` returns, written, without the scratch tables that it took."""
+    path = scratch_path(spark, name)
+    with scratch(spark):
+        out = step()
+        out.write.parquet(path)
+    _opened[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 #: Keys (rows of a few numbers) up to which a counted table is broadcast.
 MAX_BROADCAST_KEYS = 500_000
 

@@ -12,7 +12,8 @@ A size-aware heavy-light join over distinct sets (equal sets are one node from t
 Within a list no pairs are emitted at first: each member is checked against the list's hub, verified links
 become components, and only members that lie outside the component with most of the list are then compared
 with the list's members of other components; in long lists each such pair is made once, in the first list that
-it shares, and only if the two prefixes leave room for enough common shingles.  So a group of thousands of
+it shares, and only if the two prefixes, and bit signatures of the whole sets, leave room for enough common
+shingles.  So a group of thousands of
 near copies costs a star and its stragglers, yet every pair that could still join two components is verified
 against the whole sets.
 
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, keys, let, written
+from .common import connected_components, fresh, keys, let, settled, written
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,7 @@ class JaccardConfig:
     star_turns: int = 1  # rounds in which the long lists' stragglers meet members of the largest component
     draws: int = 6  # members that each list draws for that
     max_long: int = 1_000_000  # at most so many shingles are put last (8 bytes each in the broadcast)
+    signature: int = 64  # words of 64 bits that stand for a set when stragglers of long lists are compared
 
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
@@ -132,6 +134,27 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, config: JaccardConfig) -> Da
     return _texts(docs, wanted).mapInArrow(run, "nid long, hashes array<long>")
 
 
+def _signature(s: np.ndarray, words: int) -> np.ndarray:
+    """A bit for each remainder that occurs among the hashes.
+
+    Each bit of A that B lacks is a shingle of A that B lacks, so |A & B| <= |A| - (bits of A without B).
+    """
+    out = np.zeros(words, np.uint64)
+    bit = s % np.uint64(64 * words)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def _signatures(docs: DataFrame, wanted: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(nid, sig) of the wanted (nid, tkey), from the whole texts."""
+    def run(batches):
+        for b in _chunks(batches, "text"):
+            sets = [_signature(shingle_set(t, config.words), config.signature) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("nid"), _lists(sets)], ["nid", "sig"])
+
+    return _texts(docs, wanted).mapInArrow(run, "nid long, sig array<long>")
+
+
 def _long_lists(nodes: DataFrame, config: JaccardConfig) -> np.ndarray:
     """The shingles of the longest lists, at most ``max_long`` of them, sorted."""
     length = nodes.where(F.col("n") > config.light_limit).select(F.explode("head").alias("h")).groupBy("h").count() \
@@ -297,13 +320,16 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, config: Jaccard
     def members(of: DataFrame) -> DataFrame:
         return of.select(F.col("a").alias("nid")).union(of.select("b")).distinct()
 
-    pairs = written(pairs, "jaccard-pairs")
-    heads = nodes.join(keys(members(pairs), "jaccard-wanted"), "nid").select("nid", "n", F.col("head").alias("hashes"))
-    first = written(_pairs_where(pairs, written(heads, "jaccard-heads"), config), "jaccard-bound")
-    near = first.where("linked").select("a", "b")
-    wanted = nodes.select("nid", "tkey").join(keys(members(near), "jaccard-wanted"), "nid")
-    sets = written(_whole_sets(docs, wanted, config).withColumn("n", F.size("hashes").cast("long")), "jaccard-sets")
-    return written(_pairs_where(near, sets, config).union(first.where("not linked")), "jaccard-verified")
+    def step() -> DataFrame:
+        some = written(pairs, "jaccard-pairs")
+        heads = nodes.join(keys(members(some), "jaccard-wanted"), "nid").select("nid", "n", F.col("head").alias("hashes"))
+        first = written(_pairs_where(some, written(heads, "jaccard-heads"), config), "jaccard-bound")
+        near = first.where("linked").select("a", "b")
+        wanted = nodes.select("nid", "tkey").join(keys(members(near), "jaccard-wanted"), "nid")
+        sets = written(_whole_sets(docs, wanted, config).withColumn("n", F.size("hashes").cast("long")), "jaccard-sets")
+        return _pairs_where(near, sets, config).union(first.where("not linked"))
+
+    return settled(docs.sparkSession, "jaccard-verified", step)
 
 
 def _heavy_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, boundary: int, config: JaccardConfig) -> DataFrame:
@@ -361,8 +387,9 @@ def _heavy_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, boundary:
     short = _plausible(_ordered(compared(now.where(F.col("m") <= config.long_list))), config)
     # in long lists, members carry their prefixes, so that each pair is made in its first common list alone
     long_ = now.where(F.col("m") > config.long_list)
-    long_ = long_.join(prefixes.join(keys(long_.select("nid").distinct(), "jaccard-long-members"), "nid")
-                       .select("nid", "prefix"), "nid")
+    members = keys(long_.select("nid").distinct(), "jaccard-long-members")
+    signs = written(_signatures(docs, nodes.select("nid", "tkey").join(members, "nid"), config), "jaccard-signatures")
+    long_ = long_.join(prefixes.join(members, "nid").select("nid", "prefix").join(signs, "nid"), "nid")
 
     def room(c):  # the common ones, and what can follow the last of them in either set
         tail = F.element_at(c, -1)
@@ -373,7 +400,13 @@ def _heavy_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, boundary:
         >= config.percent * (F.col("na") + F.col("nb"))
     hopeful = early & let(F.array_intersect("prefix_a", "prefix_b"), lambda c: (F.element_at(c, 1) == F.col("h")) & (
         (100 + config.percent) * room(c) >= config.percent * (F.col("na") + F.col("nb"))))
-    far = compared(long_, "prefix").where(hopeful)
+    # bits that one set has and the other lacks are shingles that it lacks
+    def enough(own: str, other: str):
+        lacking = F.aggregate(F.zip_with(f"sig_{own}", f"sig_{other}", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))),
+                              F.lit(0), lambda n, x: n + x)
+        return (100 + config.percent) * (F.col(f"n{own}") - lacking) >= config.percent * (F.col("na") + F.col("nb"))
+
+    far = compared(long_, "prefix", "sig").where(hopeful & enough("a", "b") & enough("b", "a"))
     rest = short.union(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     checked = _verify(docs, nodes, rest.join(done.select("a", "b"), ["a", "b"], "left_anti"), config)
     return links.union(checked.where("linked").select("a", "b"))
