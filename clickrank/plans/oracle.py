@@ -307,6 +307,16 @@ UNION ALL SELECT 0::BIGINT, CAST(p_partkey AS INTEGER), 'size', CAST(p_size AS V
 SELECT CAST(n_nationkey + 100 AS INTEGER) AS categoryid, CAST(n_regionkey AS INTEGER) AS parentid FROM nation
 UNION ALL SELECT CAST(r_regionkey AS INTEGER), CAST(NULL AS INTEGER) FROM region"""
     q["clean_events"] = _with(_raw("events_dirty"), _clean()) + CLEAN_SELECT
+    broken = ("broken AS (SELECT * REPLACE (CASE WHEN timestamp % 97 = 0 THEN NULL ELSE visitorid END AS visitorid), "
+              "timestamp % 97 = 0 AS bad FROM raw)")
+    q["clean_from_csv"] = _with(_raw("events_dirty"), broken, _clean("broken")) + CLEAN_SELECT
+    lacks = "(visitorid IS NULL OR itemid IS NULL OR timestamp IS NULL)"
+    q["csv_check"] = _with(_raw("events_dirty"), broken, _clean("broken")) + f"""
+SELECT count(*) AS rows, count(*) FILTER (bad) AS malformed, count(*) FILTER (NOT bad AND {lacks}) AS lacking,
+       count(*) FILTER (NOT bad AND NOT {lacks} AND event NOT IN {VALID}) AS unknown_type,
+       CAST(count(*) FILTER (NOT {lacks} AND event IN {VALID}) - (SELECT count(*) FROM clean) AS BIGINT) AS copies,
+       (SELECT count(*) FROM clean) AS clean_rows
+FROM broken"""
     q["clean_orders"] = _with(_raw("orders"), _clean()) + CLEAN_SELECT
     q["event_weight_default"] = _with(_raw("events")) + f"""
 SELECT event, coalesce({WEIGHT_CASE}, 0.0) AS weight, count(*) AS events FROM raw GROUP BY event"""
@@ -386,6 +396,14 @@ FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"
 SELECT 'precision' AS metric, arg_max(model, (precision, model)) AS model, round(max(precision), 6) AS value
 FROM models
 UNION ALL SELECT 'recall', arg_max(model, (recall, model)), round(max(recall), 6) FROM models"""
+    q["evaluate_stored_lists"] = _model_rows() + (
+        f"SELECT model, {metrics6}, CAST(test_users AS BIGINT) AS test_users, true AS matches_direct FROM models "
+        "UNION ALL SELECT 'als_rank8', NULL, NULL, NULL, NULL, NULL, NULL, true")
+    q["benchmark_run"] = """SELECT * FROM (VALUES ('model_benchmark', 8::BIGINT), ('scale_benchmark', 4::BIGINT),
+  ('partition_benchmark', 4::BIGINT), ('storage_benchmark', 2::BIGINT)) t(table_name, rows)"""
+    q["report_summary"] = _with(_raw("orders"), _clean()) + f"""
+SELECT total_events, total_visitors, total_items, event_date_min, event_date_max, total_views, total_addtocart, total_transactions,
+       'cooccurrence,popularity' AS models, '0.25,0.5,0.75,1.0' AS fractions FROM ({PROFILE_SELECT}) p"""
     q["prepare_tables"] = _with(_base("orders", min_user=2, min_item=2),
                                 _interactions("clean", "inter", True, 2, 2)) + """
 SELECT 'events_clean' AS table_name, (SELECT count(*) FROM clean) AS rows

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,22 @@ from clickrank.operators.cooccurrence import (
     recommend_cooccurrence,
     top_similar,
 )
-from clickrank.operators.evaluate import catalog_size, evaluate_recommendations, per_user_metrics
+from clickrank.operators.evaluate import METRIC_NAMES, catalog_size, evaluate_recommendations, per_user_metrics
 from clickrank.operators.interactions import aggregate_interactions, deterministic_user_sample, user_histories
 from clickrank.operators.popularity import popular_candidates, recommend_popular
 from clickrank.operators.profile import dataset_profile, distinct_count, finish_profile, merge_profiles, profile_state
 from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, exact_cutoffs
 from clickrank.plans.experiments import (
+    benchmark_run,
     best_by,
     model_experiment,
     partition_experiment,
+    report_summary,
     scale_experiment,
     storage_experiment,
 )
-from clickrank.plans.prepare import prepare_outputs, write_recommendations
+from clickrank.plans.prepare import check_events, load_clean_events, prepare_outputs, write_recommendations
+from clickrank.plans.stored import evaluate_stored, store_lists, store_relevant
 from clickrank.session import scratch_path
 from clickrank.sources.files import (
     read_category_tree,
@@ -58,6 +62,7 @@ SUPPORT_MIN_ITEM = 30
 PAIR_CAP = 30
 SAMPLE_FRACTION = 0.25
 CUTOFF_RATIOS = (0.8, 0.25)
+BROKEN_EVERY = 97
 ALS_PARAMS = dict(rank=8, reg_param=0.05, alpha=10.0, max_iter=5)
 # Fixed bound: factors are stored in 32 bits and the non-negative solver stops early.
 ALS_RESIDUAL = 0.01
@@ -126,6 +131,26 @@ def q_clean_events(spark, sf):
     return clean_out(clean(spark, sf, "events_dirty"))
 
 
+def _broken_csv(spark, sf) -> str:
+    """The dirty events as CSV, with a visitor id that is no number in every row whose time is divisible by 97."""
+    raw = fixture_events(spark, sf, "events_dirty")
+    text = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    path = scratch_path(spark, "broken-events")
+    write_csv(text.withColumn("visitorid", F.when(F.col("timestamp").cast("long") % BROKEN_EVERY == 0, F.concat(F.lit("x"), "visitorid"))
+                              .otherwise(F.col("visitorid"))), path)
+    return path
+
+
+def q_clean_from_csv(spark, sf):
+    """S1 + S6: clean events loaded from a CSV with copies, missing and unreadable ids."""
+    return clean_out(load_clean_events(spark, _broken_csv(spark, sf)))
+
+
+def q_csv_check(spark, sf):
+    """S1 + S6: how many rows of that CSV are malformed, lack an id, are of an unknown type, are copies, or are clean."""
+    return check_events(spark, _broken_csv(spark, sf))
+
+
 def q_clean_orders(spark, sf):
     """Cleaning of the orders fixture (real duplicates)."""
     return clean_out(clean(spark, sf, "orders"))
@@ -455,6 +480,49 @@ def q_best_model(spark, sf):
     return best_by(rows).select("metric", "model", r6("value").alias("value"))
 
 
+def q_benchmark_run(spark, sf):
+    """B2 - B5 in one run over all fractions with the deterministic models: rows of the four written tables."""
+    raw = fixture_events(spark, sf, "orders")
+    events = clean_events(raw, DEFAULT.event_weights).persist()
+    paths = benchmark_run(raw, events, scratch_path(spark, "benchmark"), DEFAULT, ["popularity", "cooccurrence"])
+    events.unpersist()
+    tables = [spark.read.option("header", True).csv(path).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+              for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def q_report_summary(spark, sf):
+    """Profile fields, models and fractions of a scale and a model run, as the report lists them."""
+    events = clean(spark, sf, "orders").persist()
+    scale = scale_experiment(events, DEFAULT, models=("popularity",))
+    tt = build_train_test(events)
+    models = model_experiment(tt.train, tt.relevant, DEFAULT, ["popularity", "cooccurrence"])
+    tt.release()
+    summary = report_summary(dataset_profile(events), models, scale).collect()  # one row
+    events.unpersist()
+    return spark.createDataFrame(summary)
+
+
+def q_evaluate_stored_lists(spark, sf):
+    """S8 + S9 + E5: the lists of all models written by user, evaluated again from storage, against the direct evaluation."""
+    tt = split(spark, sf, "orders")
+    items = tt.train.select(F.count_distinct("itemid")).first()[0]
+    relevant = store_relevant(tt.relevant)
+    rows = []
+    for name, build in (("popularity", lambda: recommend_popular(tt.train, K)), ("cooccurrence", lambda: recommend_cooccurrence(tt.train, K)),
+                        ("als_rank8", lambda: recommend_als(tt.train, tt.relevant.select("visitorid"), K, **ALS_PARAMS)[0])):
+        recs = build().persist()
+        stored = evaluate_stored(store_lists(recs, name), relevant, items, K).first().asDict()
+        direct = evaluate_recommendations(recs, tt.relevant, items, K).first().asDict()
+        recs.unpersist()
+        same = all(abs(stored[c] - direct[c]) < 1e-9 for c in direct)
+        told = [None] * 6 if name.startswith("als") else [round(stored[c], 6) for c in (*(f"{m}_at_{K}" for m in METRIC_NAMES), "coverage", "test_users")]
+        rows.append((name, *told, same))
+    tt.release()
+    return spark.createDataFrame(rows, "model string, precision double, recall double, map double, ndcg double, coverage double, "
+                                       "test_users long, matches_direct boolean")
+
+
 def q_prepare_tables(spark, sf):
     """S7 + S8 + S10 + S11: written tables re-read and counted."""
     base = scratch_path(spark, "prepared")
