@@ -32,6 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, with the scheme that Spark itself would take for it, for files that
+    tasks read and write without Spark's readers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 #: Paths of scratch tables, by the ``scratch`` blocks that are open; those outside of any stay.
 _opened: list[list[str]] = [[]]
 

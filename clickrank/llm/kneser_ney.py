@@ -37,11 +37,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import written
+from .common import shared_folder, written
 
 _END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 _W_BITS = 36  # word ids; what is left of a key's 63 bits is the place of its context in the shard
@@ -109,13 +108,6 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder, with the scheme that Spark itself would take for it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
-
-
 def _narrow(a: np.ndarray) -> np.ndarray:
     """Numbers in four bytes where all of them fit, in eight otherwise."""
     return a.astype(np.uint32 if not len(a) or a.max() < 2**32 else np.uint64)

@@ -32,8 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import keys, text_or_empty, written
+from .common import keys, shared_folder, text_or_empty, written
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -166,7 +165,7 @@ def pack(records: bytes, index: bytes, zip64: bool = True) -> bytes:
 
 def write_archives(pages: DataFrame, config: ArchiveConfig = ArchiveConfig()) -> DataFrame:
     """Write every row of ``pages`` (page_id, url, html); returns the manifest (archive, records)."""
-    base = scratch_path(pages.sparkSession, "archives")
+    base = shared_folder(pages.sparkSession, "archives")
     rows = pages.select("page_id", "url", text_or_empty("html").alias("html"), F.sha1(text_or_empty("html")).alias("digest"))
     heavy = rows.where(F.octet_length("html") >= config.min_revisit).groupBy("digest").agg(
         F.count("*").alias("m"), F.max("page_id").alias("first")).where("m > 1").select("digest", "first")
