@@ -10,7 +10,11 @@ pages of the input that mark their article themselves (article or main elements)
 
 Defined results: a null or empty page, or one without content nodes, gives an empty text; broken markup is read
 as browsers commonly do (unknown end tags are ignored, open elements end with their parent); equal rows give
-equal texts; texts are never cut.
+equal texts; texts are never cut.  An article's own header (its title, by-line and the like) is part of it; a
+page's header is not.  Text that stands in a block beside inner blocks shares that block's label.  An empty table gives
+no rows; columns other than page_id, url and html are not read.  Reading takes time in proportion to a page's length:
+open elements are found by kind, not by a walk over them (an attribute value whose quotes pair up across tags is read
+again by each of those tags).
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+_PLAIN = re.compile(r"<!--.*|<|[^<]+", re.S)  # where no tag ends any more
+_DECLARATION = re.compile(r"<![^>]*>")  # where no CDATA section ends any more
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -54,24 +60,46 @@ HERE = re.compile(r"""(?:^|[^a-z])(article\w*|content|main|post(?:body|content)?
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "hidden", "runs", "size", "links", "label")
+    __slots__ = ("tag", "parent", "names", "hidden", "runs", "size", "links", "marks")
 
     def __init__(self, tag: str, parent: int, names: str, hidden: bool):
         self.tag, self.parent, self.names, self.hidden = tag, parent, names, hidden
         self.runs: list[tuple[int, list[str]]] = []  # (place in the page, text pieces)
-        self.size = self.links = 0
-        self.label: bool | None = None
+        self.size = self.links = self.marks = 0  # code points of its own text, those within links, punctuation marks
+
+
+_ENDED = re.compile(r"""(?:^|[\s"'])/$""")  # a slash that isn't the end of an unquoted value
+_MARKS = re.compile(r"[.,;:!?\u2026\u3001\u3002](?=\s|\Z)")
 
 
 def parse(page: str) -> list[Node]:
     """Block elements in page order (parents first); inline elements' text belongs to their block."""
     nodes = [Node("#root", -1, "", False)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, and their block
+    depths: dict[str, list[int]] = {}  # of each kind, the places in the stack of its open elements
     at, place, fresh_run, links = 0, 0, True, 0
+    last_end = page.rfind(">")  # nothing after it is a tag
+    last_section_end = page.rfind("]]>")
+
+    def deepest(kinds) -> int:
+        return max((depths[kind][-1] for kind in kinds if depths.get(kind)), default=0)
+
+    def close(k: int) -> bool:
+        """Close the elements from place ``k`` on; whether one of them is a block."""
+        nonlocal links
+        block = False
+        while len(stack) > k:
+            kind, _ = stack.pop()
+            depths[kind].pop()
+            links -= kind == "a"
+            block = block or kind in BLOCKS
+        return block
+
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        plain = _PLAIN if at > last_end else _DECLARATION if at > last_section_end and page.startswith("<![CDATA[", at) else None
+        m = (plain or _TOKEN).match(page, at)
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = "" if plain else (m[2] or m[5] or "").lower()
         if not tag:
             piece = m[0]
             if piece.startswith("<") and len(piece) > 1:
@@ -86,33 +114,27 @@ def parse(page: str) -> list[Node]:
             own.runs[-1][1].append(text)
             n = len(text.strip())
             own.size += n
+            own.marks += len(_MARKS.findall(text))
             own.links += n if links else 0
             continue
         attributes = m[3] or m[6] or ""
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    fresh_run = fresh_run or any(stack[j][0] in BLOCKS for j in range(k, len(stack)))
-                    links -= sum(stack[j][0] == "a" for j in range(k, len(stack)))
-                    del stack[k:]
-                    break
+            if k := deepest((tag,)):
+                fresh_run = close(k) or fresh_run
             continue
         ends, scope = IMPLIED.get(tag, ((), ()))
         if tag in CLOSES_P:
             ends, scope = {*ends, "p"}, {*scope, "td", "th", "button", "div", "article", "section", "blockquote", "li"} - {tag if tag in ends else ""}
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ends:
-                links -= sum(stack[j][0] == "a" for j in range(k, len(stack)))
-                del stack[k:]
-                fresh_run = True
-                break
-            if stack[k][0] in scope:
-                break
-        if tag in RAW and not attributes.endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            at = close.end()  # scripts, styles, titles and embedded documents have no main text
+        k = deepest(ends)
+        if k and k >= deepest(scope):
+            close(k)
+            fresh_run = True
+        ended = bool(_ENDED.search(attributes))
+        if tag in RAW and not ended:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+            at = end.end()  # scripts, styles, titles and embedded documents have no main text
             continue
-        if tag in VOID or (attributes.endswith("/") and tag not in BLOCKS):
+        if tag in VOID or (ended and tag not in BLOCKS):
             if tag in ("br", "hr", "img"):
                 if tag == "hr":
                     fresh_run = True
@@ -126,23 +148,33 @@ def parse(page: str) -> list[Node]:
             block, fresh_run = len(nodes) - 1, True
         elif tag == "a":
             links += 1
+        depths.setdefault(tag, []).append(len(stack))
         stack.append((tag, block))
     return nodes
 
 
 def features(nodes: list[Node]) -> list[tuple[str, ...]]:
-    """Of each node: kind, names, share of linked text and length below it."""
+    """Of each node: its kind and whether text stands in it directly, names, share of linked text and length below it,
+    punctuation of its own text, and length of the siblings beside it."""
     size, links = [n.size for n in nodes], [n.links for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         size[nodes[i].parent] += size[i]
         links[nodes[i].parent] += links[i]
+    length = [0 if not x else 1 if x < 40 else 2 if x < 160 else 3 for x in size]
+    near = [0] * len(nodes)
+    last: dict[int, int] = {}  # of each parent, the child before
+    for i, n in enumerate(nodes):
+        if (before := last.get(n.parent)) is not None:
+            near[i], near[before] = length[before], max(near[before], length[i])
+        last[n.parent] = i
     out = []
     for i, n in enumerate(nodes):
         away, here = AWAY.search(n.names), HERE.search(n.names)
         name = "hidden" if n.hidden else "away" if away else "here" if here else "none"
         share = 0 if not links[i] else 1 if 2 * links[i] < size[i] else 2
-        length = 0 if not size[i] else 1 if size[i] < 40 else 2 if size[i] < 160 else 3
-        out.append((f"tag={n.tag}", f"names={name}", f"links={share}", f"length={length}"))
+        own = 0 if not n.size else 1 if n.size < 160 else 2
+        marks = "none" if not own else min(n.marks, 2)
+        out.append((f"tag={n.tag},{own}", f"names={name}", f"links={share}", f"length={length[i]}", f"marks={marks}", f"near={near[i]}"))
     return out
 
 
@@ -171,7 +203,7 @@ class TreeModel:
     label: Counter = field(default_factory=Counter)
     edge: Counter = field(default_factory=Counter)
     smooth: float = 0.01
-    kinds: int = 40
+    kinds: int = 60
 
     def learn(self, nodes: list[Node], labels: list[bool], weight: int = 1) -> None:
         for i, (n, fs, y) in enumerate(zip(nodes, features(nodes), labels)):
@@ -245,12 +277,16 @@ def marked_labels(nodes: list[Node]) -> list[bool] | None:
 def bundled_pages() -> list[tuple[list[Node], list[bool]]]:
     """Pages in several layouts; elements with a ``y`` class token hold content, others don't."""
     long, short = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor. " * 4, "Lorem ipsum dolor."
+    mid, plain = long[:82], "Lorem ipsum"
     links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(5))
-    paras = f"<p class='y'>{long}</p><h2 class='y'>{short}</h2><p class='y'>{short}</p><ul class='y'><li class='y'>{short}</li>" \
-            f"<li class='y'>{long}</li></ul><blockquote class='y'>{long}</blockquote><table class='y'><tr class='y'><td class='y'>{short}</td>" \
+    inline = " | ".join(f"<a href='/{i}'>Link {i}</a>" for i in range(5))
+    paras = f"<p class='y'>{long}</p><h2 class='y'>{short}</h2><p class='y'>{mid}</p><p class='y'>{short}</p><p class='y'>{plain}</p><dl class='y'><dt class='y'>{plain}</dt>" \
+            f"<dd class='y'>{mid}</dd></dl><p class='y'>{mid}</p><p class='y'>{long}</p><p class='y'>{plain}</p><ul class='y'><li class='y'>{plain}</li><li class='y'>{short}</li>" \
+            f"<li class='y'>{long}</li></ul><blockquote class='y'>{long}</blockquote><table class='y'><tr class='y'><td class='y'>{short}</td><td class='y'>{plain}</td>" \
             f"</tr></table><pre class='y'>{short}</pre><figure class='y'><figcaption class='y'>{short}</figcaption></figure>"
-    comments = f"<section class='comments'><h3>Comments</h3><div class='comment'><p>{long}</p></div><div class='comment'><p>{short}</p></div></section>"
-    notice, advert = f"<div class='cookie-notice'><p>{short}</p><button>OK</button></div>", f"<div class='ad'>{short}</div>"
+    comments = f"<section class='comments'><h3>Comments</h3><div class='comment'><p>{long}</p></div><div class='comment'><p>{short}</p></div>" \
+               f"<div class='comment'><p>{mid}</p></div></section>"
+    notice, advert = f"<div class='cookie-notice'><p>{mid}</p><button>OK</button></div>", f"<div class='ad'>{short}</div>"
     promo = f"<div class='advert'><p>{long}</p></div>"
     form = f"<form><label>Mail</label><p>Sign up for news</p><p>{short}</p><select><option>a</option></select><button>Go</button></form>"
     head = f"<header><div class='logo'>Site</div><nav><ul>{links}</ul></nav></header>"
@@ -268,10 +304,26 @@ def bundled_pages() -> list[tuple[list[Node], list[bool]]]:
         f"<h1 class='y'>{short}</h1>{paras}<div class='footer'>{short}</div>",
         f"<div class='y'><h1 class='y'>{short}</h1>{paras}</div><div class='links'><ul>{links}</ul></div>{foot}",
         f"{head}<main class='y'><h1 class='y'>{short}</h1><div class='y'>{paras}</div><aside><p>{short}</p></aside><nav><ul>{links}</ul></nav>{form}</main>{foot}",
+        # nested blocks without telling names, which hold their text directly
+        f"<div><div>{inline}</div><div><div class='y'>{long}</div><div class='y'>{short}</div><div class='y'>{long}<br><br>{long}</div></div>"
+        f"<div><p>{short}</p>{inline}</div></div>",
+        f"<div><ul>{links}</ul></div><div><div><div class='y'>{long}</div></div></div><div>&copy; Site</div>",
+        f"<div>{inline}</div><div><div><h1 class='y'>{short}</h1><div class='y'>{short}</div><div class='y'>{long}</div>{promo}</div></div>{foot}",
+        # tables as layout
+        f"<table><tr><td>{inline}</td></tr><tr><td><ul>{links}</ul></td><td class='y'><h1 class='y'>{short}</h1>{paras}</td></tr>"
+        f"<tr><td>&copy; Site</td></tr></table>",
+        f"<table><tr><td>{inline}</td><td class='y'>{long}<br><br>{long}</td><td>{inline}<br>{inline}</td></tr></table>",
+        f"<center><table><tr><td>{inline}</td></tr><tr><td class='y'>{long}<p class='y'>{long}</td></tr></table></center>{foot}",
+    ]
+    direct = [  # text directly in the body
+        f"{long}<br><br>{long}",
+        f"{head}{long}<br>{short}<p class='y'>{long}{foot}",
+        f"<div>{inline}</div><h1 class='y'>{short}</h1>{long}<hr>{long}<div>{inline}</div>",
+        f"{long}<ul class='y'><li class='y'>{short}</li></ul>{long}{advert}{comments}",
     ]
     out = []
-    for body in layouts:
-        nodes = parse(f"<html><head><title>t</title></head><body>{body}</body></html>")
+    for start, body in [*[("<body>", x) for x in layouts], *[("<body class='y'>", x) for x in direct]]:
+        nodes = parse(f"<html><head><title>t</title></head>{start}{body}</body></html>")
         labels = []
         for n in nodes:
             tokens = n.names.split()
