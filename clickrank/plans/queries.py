@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clickrank.config import RecConfig
 from clickrank.functions.columns import event_weight_or_zero, user_bucket
+from clickrank.functions.ranking import average_precision_at_k, ndcg_at_k, precision_at_k, recall_at_k
 from clickrank.operators.als import ALSSettings, fit_grid, recommend_als, recommend_from_model, user_optimality
 from clickrank.operators.clean import clean_events
 from clickrank.operators.cooccurrence import (
@@ -28,17 +29,26 @@ from clickrank.operators.evaluate import METRIC_NAMES, catalog_size, evaluate_re
 from clickrank.operators.interactions import aggregate_interactions, deterministic_user_sample, user_histories
 from clickrank.operators.popularity import popular_candidates, recommend_popular
 from clickrank.operators.profile import dataset_profile, distinct_count, finish_profile, merge_profiles, profile_state
-from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, exact_cutoffs
+from clickrank.operators.reclist import from_arrays
+from clickrank.operators.split import TrainTest, approx_cutoff, build_train_test, exact_cutoffs, relevant_arrays
 from clickrank.plans.experiments import (
     benchmark_run,
     best_by,
+    fastest_partitions,
     model_experiment,
     partition_experiment,
     report_summary,
     scale_experiment,
     storage_experiment,
+    storage_summary,
+)
+from clickrank.plans.prepare import (
+    check_events,
+    load_clean_events,
+    prepare_outputs,
+    write_als_recommendations,
+    write_recommendations,
 )
-from clickrank.plans.prepare import check_events, load_clean_events, prepare_outputs, write_recommendations
 from clickrank.plans.stored import evaluate_stored, store_lists, store_relevant
 from clickrank.session import scratch_path
 from clickrank.sources.files import (
@@ -234,7 +244,8 @@ def q_approx_cutoff_bound(spark, sf):
     slack = F.ceil(n * F.lit(0.001)) + 1
     below = F.count_if(F.col("timestamp") < F.lit(value))
     at_or_below = F.count_if(F.col("timestamp") <= F.lit(value))
-    return events.agg(((below <= target + slack) & (at_or_below >= target - slack)).alias("within_bound"))
+    return events.agg(n.alias("events"), target.alias("target_rank"),
+                      ((below <= target + slack) & (at_or_below >= target - slack)).alias("within_bound"))
 
 
 def q_relevant_items(spark, sf):
@@ -334,6 +345,17 @@ def q_per_user_metrics(spark, sf):
     return metrics_out(per_user_metrics(recommend_popular(tt.train, K).persist(), tt.relevant, K))
 
 
+def q_per_user_metrics_arrays(spark, sf):
+    """E1-E4 by the array expressions, on popularity lists and relevant sets in the array form that they are stored in."""
+    tt = split(spark, sf, "orders")
+    path = scratch_path(spark, "popularity-arrays")
+    write_recommendations(recommend_popular(tt.train, K), path)
+    both = read_parquet(spark, path).join(relevant_arrays(tt.relevant), "visitorid")
+    metrics = zip(METRIC_NAMES, (precision_at_k, recall_at_k, average_precision_at_k, ndcg_at_k))
+    return metrics_out(both.select("visitorid", *[of("recommendations", "relevant_items", K).alias(f"{name}_at_{K}")
+                                                  for name, of in metrics]))
+
+
 def q_evaluate_popularity(spark, sf):
     """E5: averaged metrics and coverage of the popularity lists."""
     tt = split(spark, sf, "orders")
@@ -432,6 +454,26 @@ def q_evaluate_als_orders(spark, sf):
     return metrics_out(evaluate_recommendations(recs, tt.relevant, catalog_size(tt.train), K))
 
 
+def q_als_tables_by_rank(spark, sf):
+    """S9 + M5: the lists of two ranks, written as one table partitioned by rank; each read back alone equals what was fitted."""
+    tt = split(spark, sf, "orders")
+    fits = [ALSSettings(rank, ALS_PARAMS["reg_param"], ALS_PARAMS["alpha"], ALS_PARAMS["max_iter"]) for rank in DEFAULT.als_ranks]
+    lists = {fit.rank: recommend_from_model(model, tt.train, tt.relevant, K).persist()
+             for fit, model in zip(fits, fit_grid(tt.train, fits))}
+    path = scratch_path(spark, "als-by-rank")
+    write_als_recommendations(lists, path)
+    rows = []
+    for rank, recs in lists.items():
+        stored = from_arrays(read_parquet(spark, path).where(F.col("als_rank") == rank)).long
+        side = [df.select("visitorid", "rank", "itemid", F.lit(n).alias("n")) for df, n in ((stored, 1), (recs.long, -1))]
+        differing = side[0].union(side[1]).groupBy("visitorid", "rank", "itemid").agg(F.sum("n").alias("n")).where("n <> 0")
+        rows.append(stored.agg(F.lit(rank).alias("als_rank"), F.count_distinct("visitorid").alias("users"), F.count(F.lit(1)).alias("rows"))
+                    .withColumn("differing", differing.select(F.count(F.lit(1))).scalar()).first())
+        recs.unpersist()
+    tt.release()
+    return spark.createDataFrame(rows, "als_rank int, users long, rows long, differing long")
+
+
 def q_evaluate_als(spark, sf):
     """E5 on ALS lists (no SQL oracle)."""
     tt, recs = _als(spark, sf)
@@ -491,6 +533,26 @@ def q_benchmark_run(spark, sf):
     return reduce(DataFrame.unionByName, tables)
 
 
+def q_fastest_partitions(spark, sf):
+    """R2 + L6: of the measured partition counts, the fastest.  The time itself differs from run to run, so a row of the
+    measured table tells whether it was timed and how many of the rows the chosen count is no slower than."""
+    measured = partition_experiment(clean(spark, sf, "orders"), DEFAULT, timed=True)
+    best = fastest_partitions(measured)
+    chosen, least = best.select("partitions").scalar(), best.select("total_time_seconds").scalar()
+    return measured.agg(
+        F.count(F.lit(1)).alias("measured"), F.count_if(F.col("total_time_seconds") > 0).alias("timed"),
+        F.count_if(F.col("total_time_seconds") >= least).alias("no_faster"),
+        F.count_if((F.col("partitions") == chosen) & (F.col("total_time_seconds") == least)).alias("chosen"))
+
+
+def q_storage_summary(spark, sf):
+    """R3 + B5: rows of each stored format as counted, and whether its opening was timed."""
+    raw = fixture_events(spark, sf, "orders")
+    measured = storage_experiment(raw, clean_events(raw, DEFAULT.event_weights), timed=True)
+    return measured.select("format", "rows").join(storage_summary(measured), "format").select(
+        "format", "rows", (F.col("read_time_seconds") >= 0).alias("timed"))
+
+
 def q_report_summary(spark, sf):
     """Profile fields, models and fractions of a scale and a model run, as the report lists them."""
     events = clean(spark, sf, "orders").persist()
