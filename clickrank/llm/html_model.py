@@ -359,8 +359,10 @@ def train(pages: DataFrame, config: HtmlConfig = HtmlConfig()) -> TreeModel:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
             (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["kind", "feature", "a", "b", "n"])
 
-    marked = pages.select("html").where(F.lower("html").rlike("<(article|main)[ />]"))
-    draw = marked.withColumn("draw", F.xxhash64("html")).orderBy("draw").limit(config.labelled_pages).select("html")
+    marked = pages.select("html").where(F.lower("html").rlike("<(article|main)[ />]")).withColumn("draw", F.xxhash64("html"))
+    # the smallest hashes are found without their pages, then only the drawn pages move, one of equal ones
+    last = marked.select("draw").distinct().orderBy("draw").limit(config.labelled_pages).agg(F.max("draw")).first()[0]
+    draw = marked.where(F.lit(False) if last is None else F.col("draw") <= last).dropDuplicates(["draw"]).select("html")
     sums = draw.mapInArrow(count, "kind string, feature string, a long, b long, n long").groupBy("kind", "feature", "a", "b").agg(
         F.sum("n").alias("n")).collect()  # element kinds and a few buckets
     for r in sums:
