@@ -1,17 +1,19 @@
 """Web archives packed in ZIP files: a writer, and a reader that range-reads single records in place.
 
 Each write task packs its pages into archives of bounded size: a ZIP file with two stored members,
-``archive/data.warc.gz`` (one gzip member per WARC record) and ``indexes/index.cdxj`` (a JSON line per record
-with its offset and length).  The reader finds the end record, follows the ZIP64 locator where there is one,
-parses the central directory, locates the stored members, and reads each record by its byte range; nothing
-is unpacked to disk.  Files go through the file system of the shared checkpoint folder's address.
+``archive/data.warc.gz`` (one gzip member per WARC record) and ``indexes/index.cdxj`` (sorted lines "key timestamp
+{json}", a record each, the JSON with its file, offset and length).  The reader finds the end record, follows the ZIP64
+locator where there is one, parses the central directory, takes every stored index member (.cdxj or .cdx, also
+with .gz), and reads each record by its byte range; nothing is unpacked to disk.  Files go through the file system of the shared checkpoint folder's address.
 
 Of records with equal payloads of at least ``min_revisit`` bytes the one with the largest page_id is the
 response; the others are revisits without payload that carry its digest and length.
 
 Defined results: a null html is an empty payload; a null url is an empty target; rows that share the payload
 and the largest page_id are all responses; a null page_id revisits the largest id, or is a response if none
-of the equal payloads has an id; repeated rows give a record each; an empty table gives no archive.
+of the equal payloads has an id; repeated rows give a record each; an empty table gives no archive; other columns
+than page_id, url and html are not read; texts are never cut.  Of archives written elsewhere, records without a page's
+number have a null page_id, and an archive without an index is an error that names it.
 """
 
 from __future__ import annotations
@@ -53,6 +55,29 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
+def surt(url: str) -> str:
+    """The sort key of an address: its host from the last name to the first, then the rest."""
+    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)", url, re.S)
+    return _clean((",".join(reversed(m[1].split("."))) + ")" + (m[2] or "/") if m else url).lower()) or "-"
+
+
+def index_line(url: str, kind: str, said: str, offset: int, length: int) -> str:
+    fields = {"url": _clean(url), "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{said}",
+              "length": str(length), "offset": str(offset), "filename": WARC.rsplit("/", 1)[1]}
+    return f"{surt(url)} 19700101000000 {json.dumps(fields)}"
+
+
+def index_entries(data: bytes) -> list[tuple[str, int, int]]:
+    """(member, offset, length) of each line of an index; lines without JSON and its headers are not records."""
+    rows = [json.loads(line[line.index("{"):]) for line in data.decode().splitlines() if "{" in line and not line.startswith("!")]
+    return [(f"archive/{r['filename']}", int(r["offset"]), int(r["length"])) for r in rows]
+
+
+def page_number(urn: str | None) -> int | None:
+    m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
+    return int(m[1]) if m else None
+
+
 def warc_record(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     block = HTTP + payload if kind == "response" else HTTP
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
@@ -178,7 +203,7 @@ def write_archives(pages: DataFrame, config: ArchiveConfig = ArchiveConfig()) ->
         def flush():
             path = f"{base}/{uuid.uuid4().hex}.wacz"
             with fs.open_output_stream(f"{root}/{path.rsplit('/', 1)[1]}") as f:
-                f.write(pack(bytes(data), "\n".join(index).encode()))
+                f.write(pack(bytes(data), "\n".join(sorted(index)).encode()))
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["archive", "records"])
 
         fs.create_dir(root, recursive=True)
@@ -186,9 +211,9 @@ def write_archives(pages: DataFrame, config: ArchiveConfig = ArchiveConfig()) ->
             for i in range(b.num_rows):
                 page, url, html, first = (b.column(k)[i].as_py() for k in range(4))
                 kind = "revisit" if first is not None and page != first else "response"
-                record = gzip.compress(warc_record(kind, page, url, html.encode("utf-8", "surrogatepass"),
-                                                   first if kind == "revisit" else None), config.level, mtime=0)
-                index.append(json.dumps({"page_id": page, "offset": len(data), "length": len(record)}))
+                payload = html.encode("utf-8", "surrogatepass")
+                record = gzip.compress(warc_record(kind, page, url, payload, first if kind == "revisit" else None), config.level, mtime=0)
+                index.append(index_line(url or "", kind, digest(payload), len(data), len(record)))
                 data += record
                 n += 1
                 if len(data) >= config.archive_bytes:
@@ -208,24 +233,27 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 fs, name = pafs.FileSystem.from_uri(path)
                 with fs.open_input_file(name) as f:
                     ranges = ZipRanges(lambda at, n: f.read_at(n, at), f.size())
-                    start = ranges.data_start(WARC)
-                    entries = [json.loads(x) for x in ranges.read(INDEX).splitlines()]
+                    indexes = [m for m in ranges.members if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", m)]
+                    if not indexes:
+                        raise ValueError(f"{path}: no index")
+                    entries = sorted(e for m in indexes for e in index_entries(
+                        gzip.decompress(ranges.read(m)) if m.endswith(".gz") else ranges.read(m)))
+                    starts = {m: ranges.data_start(m) for m in {e[0] for e in entries}}
                     for k in range(0, len(entries), 256):
-                        yield batch_of([(e, *parse_record(gzip.decompress(f.read_at(e["length"], start + e["offset"]))))
-                                        for e in entries[k:k + 256]], path)
+                        yield batch_of([(offset, length, *parse_record(gzip.decompress(f.read_at(length, starts[m] + offset))))
+                                        for m, offset, length in entries[k:k + 256]], path)
 
     def batch_of(rows, path):
         out = []
-        for e, fields, block in rows:
+        for offset, length, fields, block in rows:
             kind = fields["warc-type"]
             payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-            said = fields["warc-payload-digest"].removeprefix("sha1:")
-            if payload is not None and digest(payload) != said:
-                raise ValueError(f"{path}: the record at {e['offset']} doesn't have the digest of its header")
-            to = fields.get("warc-refers-to")
-            out.append((e["page_id"], fields["warc-target-uri"], payload,
-                        len(payload) if payload is not None else int(fields["warc-payload-length"]), said, kind,
-                        int(to.removeprefix("<urn:page:").removesuffix(">")) if to else None, path, e["offset"], e["length"]))
+            scheme, _, said = fields.get("warc-payload-digest", "").partition(":")
+            if payload is not None and scheme == "sha1" and digest(payload) != said:
+                raise ValueError(f"{path}: the record at {offset} doesn't have the digest of its header")
+            size = len(payload) if payload is not None else fields.get("warc-payload-length")
+            out.append((page_number(fields.get("warc-record-id")), fields.get("warc-target-uri"), payload, None if size is None else int(size),
+                        said or None, kind, page_number(fields.get("warc-refers-to")), path, offset, length))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
 
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"]
