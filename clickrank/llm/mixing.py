@@ -90,8 +90,8 @@ def leaf_budgets(leaves: DataFrame, config: MixConfig = MixConfig()) -> DataFram
     open_ = F.least(*[_weight(level, weights) for level, weights in zip(LEVELS, (config.domains, config.languages, config.sources))]) > 0
     leaves = leaves.withColumn("cap", _long(F.when(open_, F.col("tokens") * config.max_epochs).otherwise(0)))
     total = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap"))
-    target = F.lit(config.target_tokens) if config.target_tokens is not None else F.floor(
-        F.col("tokens") * config.target_permille / 1000)
+    target = F.lit(config.target_tokens) if config.target_tokens is not None else F.expr(
+        f"cast(tokens as decimal(38,0)) * {config.target_permille} div 1000")
     above = total.select(_long(F.least(_long(target), F.col("cap"))).alias("above"))
     path: list[str] = []
     for level, weights in zip(LEVELS, (config.domains, config.languages, config.sources)):
@@ -100,7 +100,7 @@ def leaf_budgets(leaves: DataFrame, config: MixConfig = MixConfig()) -> DataFram
         above = _pour(nodes, path, level).select(*path, level, F.col("budget").alias("above"))
         path.append(level)
     out = leaves.join(above, path).select(*path, "tokens", F.col("above").cast("long").alias("budget"))
-    return out.withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("long")) \
+    return out.withColumn("epochs", F.expr("budget div tokens")) \
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
 
