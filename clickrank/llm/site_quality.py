@@ -2,24 +2,29 @@
 
 Two labels, toxic and quality, are treated alike:
 
-1. Words.  Document frequencies of hashed words by label, summed over all labelled rows of the even fold, give
-   log-odds, shrunk towards no evidence; words whose odds aren't significant and in favour of the rarer label
-   weigh nothing.
-2. Evidence.  A text's evidence is the sum of the weights of its distinct words.  The odd fold's histogram of
-   evidence by label, made monotone, turns it into a likelihood ratio, so that scores are calibrated out of fold.
+1. Words.  Document frequencies of hashed words, word beginnings and word shapes by label and fold, summed over one row
+   of each different labelled text.  Each word's log-odds for the rarer label are shrunk by empirical Bayes: the shares
+   of all words at each step of a grid of odds are the prior (fitted by EM), and a word weighs its posterior mean if it
+   is telling with a probability of ``certainty``; so few labels give few words, and many labels give more.
+2. Evidence.  A text's evidence is the sum of the weights of its distinct words; a labelled text's comes from the
+   weights of the other folds.  The labelled rows' histogram of evidence by label, made monotone, turns it into a
+   likelihood ratio, so that scores are calibrated out of fold with all labels.
 3. Sites.  Label counts per host and per path, by grouped aggregates.  A host's rate is shrunk towards the
    global rate and a path's towards its host's, with prior strengths from the spread of the rates (moments).
 4. Posterior odds of a document = the odds of its path's rate times its likelihood ratio.
 
-The model is ``buckets`` weights per label and ``bins`` ratios, whatever the corpus; sites are joined, never collected.
+The model is ``buckets`` weights per label and fold and ``bins`` ratios, whatever the corpus; sites are joined, never collected.
 
 Defined results: null and empty texts have no words, hence the ratio of that evidence; null hosts and paths
 are sites of their own; rows with a null id are scored but not learned from; a label that is null, or
-contradicted by another row of the same id, isn't used; without labels every rate is one half.
+contradicted by another row of the same id, isn't used; equal texts are learned from once for each pair of labels and
+fall into one fold; ties of evidence share a ratio; without labels every rate is one half; an empty table gives no rows;
+very long texts are read whole; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,29 +41,48 @@ LABELS = ("toxic", "quality")
 MARKS = ".,;:!?\"'()[]"
 #: Lengths of the word beginnings that count as features.
 STEMS = (5, 7)
+SHAPES = (("a", re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")), ("A", re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de]+")),
+          ("0", re.compile("[0-9]+")))
+#: Steps of log-odds that a word can have for the rarer label, beside the label's own share.
+STEPS = np.arange(-3, 8.5, 0.5)
 
 
 @dataclass(frozen=True)
 class SiteConfig:
     buckets: int = 1 << 18
-    min_z: float = 4.5
+    folds: int = 4
     min_odds: float = 2.5  # weaker words weigh nothing: a long clean text would gather many of them
-    min_support: float = 0.02  # a word must stand in this share of the rarer label's rows: copies of one text are no evidence
-    prior_rows: float = 4.0  # pseudo-rows of no evidence for each word
+    certainty: float = 0.99  # posterior probability of such odds that a word needs to weigh anything
+    min_support: float = 0.02  # a word must stand in this share of the rarer label's rows: near copies are no evidence
+    min_rows: int = 3  # and in so many of them
+    em_rounds: int = 60
     bins: int = 41
     bin_width: float = 1.0
     max_strength: float = 10_000.0
 
 
+def _shape(word: str) -> str:
+    """A word with runs of small letters, capitals and digits as a, A and 0; its marks stay."""
+    for kind, run in SHAPES:
+        word = run.sub(kind, word)
+    return word[:12]
+
+
 def _word_sets(texts: list[str | None], buckets: int) -> Iterator[np.ndarray]:
     h = xxhash.xxh32_intdigest
     for t in texts:
-        raw = set((t or "").split())
-        # a word as it stands (its marks and case tell of quality), its bare form and its beginnings
+        words = (t or "").split()
+        raw = set(words)
+        # a word as it stands (its marks and case tell of quality), its bare form, its beginnings and its shape
         bare = {w.strip(MARKS).lower() for w in raw}
         seen = {h(w) % buckets for w in raw} | {h(w, 1) % buckets for w in bare}
         for n in STEMS:
             seen.update({h(w, n) % buckets for w in {w[:n] for w in bare if len(w) > n}})
+        seen.update({h(w, 2) % buckets for w in set(map(_shape, raw))})
+        if any(map(str.__eq__, words, words[1:])):
+            seen.add(h("twice", 3) % buckets)
+            if any(a == b == c for a, b, c in zip(words, words[1:], words[2:])):
+                seen.add(h("thrice", 3) % buckets)
         yield np.fromiter(seen, np.int64, len(seen))
 
 
@@ -73,56 +97,77 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(*[ok(c) for c in LABELS])
 
 
+def word_weights(rows: tuple[float, float], with_word: np.ndarray, config: SiteConfig) -> np.ndarray:
+    """The weight of each word for the rarer label, from the rows of labels 0 and 1 and those with the word (2 x words).
+
+    The words' odds are drawn from one unknown distribution over STEPS, fitted to all words by EM; it is the prior of each.
+    """
+    if not all(rows) or not with_word.shape[1]:
+        return np.zeros(with_word.shape[1])
+    rare = int(rows[1] < rows[0])
+    hits, others = with_word[rare].astype(float), with_word[1 - rare].astype(float)
+    shifted = np.log(rows[rare] / rows[1 - rare]) + STEPS
+    like = -hits[:, None] * np.log1p(np.exp(-shifted)) - others[:, None] * np.log1p(np.exp(shifted))
+    like = np.exp(like - like.max(axis=1, keepdims=True))
+    prior = np.where(STEPS == 0, 1.0, 1e-3)
+    prior /= prior.sum()
+    seen = with_word.sum(axis=0) > 0
+    for _ in range(config.em_rounds if seen.any() else 0):
+        post = like[seen] * prior
+        prior = (post / post.sum(axis=1, keepdims=True)).mean(axis=0)
+    post = like * prior
+    post /= post.sum(axis=1, keepdims=True)
+    telling = STEPS >= config.min_odds
+    sure = post[:, telling].sum(axis=1) >= config.certainty
+    sure &= hits >= max(config.min_rows, config.min_support * rows[rare])
+    return np.where(sure, post @ np.where(telling, STEPS, 0), 0)
+
+
 def learn_words(labelled: DataFrame, config: SiteConfig) -> np.ndarray:
-    """weights[label, bucket] from (text, toxic, quality)."""
+    """weights[fold, label, bucket] from (text, fold, toxic, quality): learned without that fold; the last, from all rows."""
+    kinds = 2 * len(LABELS)
+
     def run(batches):
-        total = np.zeros((len(LABELS) * 2, config.buckets), np.int64)
-        rows = np.zeros(len(LABELS) * 2, np.int64)
+        total = np.zeros((config.folds * kinds, config.buckets), np.int64)
+        rows = np.zeros(config.folds * kinds, np.int64)
         for b in batches:
             marks = [b.column(c).to_pylist() for c in LABELS]
-            for i, words in enumerate(_word_sets(b.column("text").to_pylist(), config.buckets)):
+            for i, (fold, words) in enumerate(zip(b.column("fold").to_pylist(), _word_sets(b.column("text").to_pylist(), config.buckets))):
                 for k, m in enumerate(marks):
                     if m[i] is not None:
-                        total[2 * k + (m[i] != 0), words] += 1
-                        rows[2 * k + (m[i] != 0)] += 1
-        at = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1)), *[pa.array(np.append(total[j, at], rows[j])) for j in range(len(total))]],
-            ["bucket", *[f"n{j}" for j in range(len(total))]])
-
-    cols = [f"n{j}" for j in range(2 * len(LABELS))]
-    sums = labelled.select("text", *LABELS).mapInArrow(run, ", ".join(["bucket long", *[f"{c} long" for c in cols]])) \
-        .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # at most buckets + 1 rows
-    weights = np.zeros((len(LABELS), config.buckets), np.float32)
-    rows = sums[sums["bucket"] < 0]
-    words = sums[sums["bucket"] >= 0]
-    for k in range(len(LABELS)):
-        n0, n1 = (float(rows[c].sum()) for c in cols[2 * k:2 * k + 2])
-        if not n0 or not n1:
-            continue
-        c0, c1 = (words[c].to_numpy(float) for c in cols[2 * k:2 * k + 2])
-        rate = (c0 + c1 + 1e-9) / (n0 + n1)
-        a0, a1 = c0 + config.prior_rows * rate, c1 + config.prior_rows * rate
-        odds = np.log(a1 / (n1 + config.prior_rows)) - np.log(a0 / (n0 + config.prior_rows))
-        z = odds / np.sqrt(1 / np.maximum(a0, .5) + 1 / np.maximum(a1, .5))
-        rarer = 1 if n1 < n0 else -1  # words speak for the rarer label only: the other one has no words of its own
-        support = (c1 if rarer == 1 else c0) >= config.min_support * min(n0, n1)
-        strong = support & (rarer * z >= config.min_z) & (rarer * odds >= config.min_odds)
-        weights[k, words["bucket"].to_numpy()] = np.where(strong, rarer * odds, 0)
+                        total[fold * kinds + 2 * k + (m[i] != 0), words] += 1
+                        rows[fold * kinds + 2 * k + (m[i] != 0)] += 1
+        for j in range(len(total)):
+            at = np.flatnonzero(total[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, j)), pa.array(np.append(at, -1)),
+                                              pa.array(np.append(total[j, at], rows[j]))], ["kind", "bucket", "n"])
+
+    sums = labelled.select("text", "fold", *LABELS).mapInArrow(run, "kind long, bucket long, n long") \
+        .groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most kinds x folds x (buckets + 1) rows
+    counts = np.zeros((config.folds * kinds, config.buckets + 1), np.int64)  # the last is bucket -1
+    counts[sums["kind"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    counts = counts.reshape(config.folds, len(LABELS), 2, -1)
+    weights = np.zeros((config.folds + 1, len(LABELS), config.buckets), np.float32)
+    for fold in range(config.folds + 1):
+        got = counts.sum(axis=0) - (counts[fold] if fold < config.folds else 0)
+        for k in range(len(LABELS)):
+            at = np.flatnonzero(got[k, :, :-1].sum(axis=0))
+            weights[fold, k, at] = word_weights(tuple(got[k, :, -1].astype(float)), got[k][:, at], config)
     return weights
 
 
 def with_evidence(docs: DataFrame, weights: np.ndarray, config: SiteConfig, *columns: str) -> DataFrame:
-    """``columns`` plus the bin of each label's evidence."""
+    """``columns`` plus the bin of each label's evidence, by the weights of the row's ``fold`` (null: of all rows)."""
     def run(batches):
         for b in batches:
-            sums = [weights[:, w].sum(axis=1) for w in _word_sets(b.column("text").to_pylist(), config.buckets)]
+            folds = [config.folds if f is None else f for f in b.column("fold").to_pylist()]
+            sums = [weights[f][:, w].sum(axis=1) for f, w in zip(folds, _word_sets(b.column("text").to_pylist(), config.buckets))]
             bins = np.minimum(np.rint(np.array(sums, float).reshape(-1, len(LABELS)) / config.bin_width), config.bins - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *[pa.array(bins[:, k]) for k in range(len(LABELS))]],
                                              [*columns, *[f"bin_{c}" for c in LABELS]])
 
     types = dict(docs.dtypes)
-    return docs.select(*columns, "text").mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in columns],
+    return docs.select(*columns, "fold", "text").mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in columns],
                                                                     *[f"bin_{c} long" for c in LABELS]]))
 
 
@@ -185,12 +230,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: str | Column = "source",
     """doc_id, p_toxic, p_quality, toxic, kept: one row per row of ``docs``."""
     rows = docs.select("doc_id", text_or_empty().alias("text"), *_site_columns(host, path))
     known = keys(known_labels(labels), "site-labels")
-    train = rows.join(known, "doc_id")
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    weights = learn_words(train.where(fold == 0), config)
-    scored = written(with_evidence(rows, weights, config, "doc_id", "host", "path"), "site-evidence")
-    ratios = _ratios(scored.join(known, "doc_id").where(fold == 1), config)
-    marks = train.select("host", "path", *LABELS)
+    fold = F.pmod(F.xxhash64("text"), F.lit(config.folds)).alias("fold")
+    # one row of each different labelled text is learned from; only its id moves
+    marks = rows.join(known, "doc_id").select("doc_id", "host", "path", fold, *[F.xxhash64(F.lit(k), "text").alias(f"k{k}") for k in (1, 2)], *LABELS)
+    one = marks.groupBy("fold", "k1", "k2", *LABELS).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fold", *LABELS).distinct()
+    some = rows.join(keys(one.withColumnRenamed("fold", "own"), "site-texts"), "doc_id").select("text", fold, "own", *LABELS)
+    weights = learn_words(some.where("fold = own"), config)
+    judged = rows.join(known.select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left") \
+        .withColumn("fold", F.when(F.col("labelled"), fold))
+    scored = written(with_evidence(judged, weights, config, "doc_id", "host", "path"), "site-evidence")
+    ratios = _ratios(scored.join(known, "doc_id"), config)
     out = scored
     for c in LABELS:
         hosts, paths, mean = site_rates(marks, c, config)

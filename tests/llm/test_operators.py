@@ -128,6 +128,13 @@ def test_mix(spark, texts):
     assert mixing.mix(empty(spark), config).count() == 0
 
 
+def test_mix_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"text number {i} of a leaf", "en", "src1", None, "", i) for i in range(200)], DOCS)
+    out = mixing.mix(docs, mixing.MixConfig(target_permille=600, max_epochs=1))
+    total = sum(r.n_tokens for r in out.collect())
+    assert 1200 * 0.6 - 6 < total <= 1200 * 0.6  # 200 rows of 6 words, and the prefix is the longest that fits
+
+
 def test_siblings_take_a_shortage_first(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "3", 1000), ("b", "x", "4", 1000)],
                                    "domain string, language string, source string, tokens long")
@@ -293,6 +300,81 @@ def test_site_quality(spark):
     assert site_quality.classify(empty(spark), marks.limit(0)).count() == 0
 
 
+def posterior_weight(rare, other, hits, misses, prior, config):
+    """The weight of one word, by Bayes over the grid."""
+    p = [w * (q := 1 / (1 + math.exp(-(math.log(rare / other) + d)))) ** hits * (1 - q) ** misses
+         for d, w in zip(site_quality.STEPS, prior)]
+    sure = sum(x for d, x in zip(site_quality.STEPS, p) if d >= config.min_odds) / sum(p)
+    mean = sum(d * x for d, x in zip(site_quality.STEPS, p) if d >= config.min_odds) / sum(p)
+    return mean if sure >= config.certainty and hits >= max(config.min_rows, config.min_support * rare) else 0
+
+
+def test_word_weights():
+    rng = np.random.default_rng(4)
+    config = site_quality.SiteConfig()
+    counts = np.stack([rng.binomial(300, 0.1, 400), rng.binomial(50, 0.1, 400)])
+    counts[:, :8] = [[0, 0, 0, 1, 2, 0, 300, 0], [30, 12, 4, 20, 25, 2, 50, 50]]
+    got = site_quality.word_weights((300.0, 50.0), counts, config)
+    prior = np.where(site_quality.STEPS == 0, 1.0, 1e-3)
+    for _ in range(config.em_rounds):
+        shares = []
+        for misses, hits in counts.T:
+            p = np.array([w * (q := 1 / (1 + math.exp(-(math.log(50 / 300) + d)))) ** hits * (1 - q) ** misses
+                          for d, w in zip(site_quality.STEPS, prior / prior.sum())])
+            shares.append(p / p.sum())
+        prior = np.mean(shares, axis=0)
+    want = [posterior_weight(50, 300, hits, misses, prior, config) for misses, hits in counts.T]
+    assert np.allclose(got, want) and (got[[0, 1, 3, 4, 7]] > 2.5).all() and not got[8:].any() and not got[6]
+    # the other way round, words speak for the rarer label 0
+    assert np.allclose(site_quality.word_weights((50.0, 300.0), counts[::-1], config), want)
+    assert not site_quality.word_weights((0.0, 5.0), counts, config).any()
+
+
+def test_site_rates(spark):
+    rng = random.Random(6)
+    rows = [(h, p, int(rng.random() < r)) for h, r in (("a", .1), ("b", .8), ("c", .3)) for p in "xyz" for _ in range(rng.randint(2, 60))]
+    rows += [("d", "x", 1), ("d", "", None)]
+    config = site_quality.SiteConfig()
+    hosts, paths, mean = site_quality.site_rates(spark.createDataFrame(rows, "host string, path string, toxic int"), "toxic", config)
+    known = [r for r in rows if r[2] is not None]
+    assert mean == (sum(r[2] for r in known) + .5) / (len(known) + 1)
+
+    def strength(groups):
+        n, var = sum(map(len, groups)), mean * (1 - mean)
+        spread = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups) - (len(groups) - 1) * var
+        between = spread / (n - sum(len(g) ** 2 for g in groups) / n)
+        return config.max_strength if between <= 0 else min(config.max_strength, max(1, var / between - 1))
+
+    def grouped(width):
+        out = {}
+        for r in known:
+            out.setdefault(r[:width], []).append(r[2])
+        return out
+
+    s = strength(list(grouped(1).values()))
+    want = {k[0]: (sum(g) + s * mean) / (len(g) + s) for k, g in grouped(1).items()}
+    assert {r.host: r.host_rate for r in hosts.collect()} == pytest.approx(want)
+    s = strength(list(grouped(2).values()))
+    assert {(r.host, r.path): r.path_rate for r in paths.collect()} == pytest.approx(
+        {k: (sum(g) + s * want[k[0]]) / (len(g) + s) for k, g in grouped(2).items()})
+
+
+def test_site_quality_of_odd_rows(spark):
+    """Copies of one text are one piece of evidence; long, empty and repeated rows have answers; clashing columns don't matter."""
+    rng = random.Random(9)
+    clean = [(i, " ".join(f"w{rng.randint(0, 200)}" for _ in range(40)), "en", "s", 0, "", 0) for i in range(150)]
+    copies = [(1000 + i, "one text copied often with copyword in it", "en", "s", 0, "", 0) for i in range(40)]
+    odd = [(None, "long " * 200_000, "en", "s", 0, "", 0), (7000, "", None, None, 0, "", 0), (7000, "", None, None, 0, "", 0),
+           (7001, "copyword alone", "en", "s", 0, "", 0)]
+    docs = spark.createDataFrame(clean + copies + odd, DOCS).withColumns({"fold": F.lit("x"), "toxic": F.lit(5), "host": F.lit(1)})
+    marks = spark.createDataFrame([(r[0], 1, 0) for r in clean] + [(r[0], 1, 1) for r in copies] + [(7000, None, None)],
+                                  "doc_id long, quality int, toxic int")
+    got = site_quality.classify(docs, marks).collect()
+    assert len(got) == len(clean + copies + odd) and sum(r.doc_id == 7000 for r in got) == 2
+    assert not any(r.p_toxic is None or r.p_quality is None for r in got)
+    assert not next(r for r in got if r.doc_id == 7001).toxic
+
+
 def test_secrets(spark, texts):
     docs = frame(spark, texts)
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
