@@ -15,8 +15,9 @@ Budgets are integers, shares round down, so the result does not depend on partit
 on the executors.
 
 Defined results: a null language, source or domain is the leaf 'unknown'; a row without words has no tokens and
-is never selected; rows of one leaf with the same id tie, and are taken or left together; the prefix is the
-longest that fits; an empty table gives no rows; weights that are missing count 1, a weight of 0 takes nothing.
+is never selected; rows without an id go by a hash of their text; rows of one leaf with the same id, or with none and
+the same text, tie, and are taken or left together; the prefix is the longest that fits; very long texts are counted
+whole; an empty table gives no rows; weights that are missing count 1, a weight of 0 takes nothing.
 """
 
 from __future__ import annotations
@@ -104,8 +105,12 @@ def leaf_budgets(leaves: DataFrame, config: MixConfig = MixConfig()) -> DataFram
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
 
-def _order(epoch: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+def _row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text_or_empty())))
+
+
+def _order(epoch: Column, seed: int, row_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), row_id))
 
 
 def _leaf_columns(domain: Column) -> list[Column]:
@@ -118,13 +123,13 @@ def leaf_plan(docs: DataFrame, config: MixConfig = MixConfig(), domain: Column |
     """One row per leaf: its budget, whole epochs, and the hash at which the last epoch's prefix is cut."""
     domain = default_domain() if domain is None else domain
     path = list(LEVELS)
-    rows = docs.select("doc_id", *_leaf_columns(domain), F.size(words_of(text_or_empty())).cast("long").alias("n"))
+    rows = docs.select(_row_id().alias("row_id"), *_leaf_columns(domain), F.size(words_of(text_or_empty())).cast("long").alias("n"))
     rows = written(rows.where("n > 0"), "mix-rows")
     leaves = written(rows.groupBy(*path).agg(F.sum("n").alias("tokens")), "mix-leaves")
     plan = written(leaf_budgets(leaves, config), "mix-budgets")
     small = plan.count() <= MAX_BROADCAST_LEAVES
     part = plan.where("rest > 0").select(*path, "epochs", "rest")
-    ranked = rows.join(F.broadcast(part) if small else part, path).withColumn("h", _order(F.col("epochs"), config.seed))
+    ranked = rows.join(F.broadcast(part) if small else part, path).withColumn("h", _order(F.col("epochs"), config.seed, F.col("row_id")))
     ranked = ranked.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     upto = Window.partitionBy(*path).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = ranked.groupBy(*path, "bucket").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.max("h").alias("last"))
@@ -158,6 +163,6 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), domain: Column | None
     rows = docs.withColumns({a: c for a, c in zip(leaf, _leaf_columns(domain))})
     rows = rows.withColumn(n, F.size(words_of(text_or_empty())).cast("long")).where(F.col(n) > 0)
     rows = rows.join(F.broadcast(own) if small else own, leaf)
-    last = F.when(_order(F.col(epochs), config.seed) <= F.col(cut), F.col(epochs)).otherwise(F.col(epochs) - 1)
+    last = F.when(_order(F.col(epochs), config.seed, _row_id()) <= F.col(cut), F.col(epochs)).otherwise(F.col(epochs) - 1)
     return rows.withColumn(epoch, F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)))) \
         .select(*taken, F.col(epoch), F.col(leaf[0]).alias(name), F.col(n))
