@@ -71,10 +71,14 @@ def settled(spark: SparkSession, name: str, step) -> DataFrame:
 MAX_BROADCAST_KEYS = 500_000
 
 
-def keys(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written, and marked for broadcast if its rows, as counted, are within MAX_BROADCAST_KEYS."""
+def keys(df: DataFrame, name: str, entries: Column | None = None) -> DataFrame:
+    """``df``, written, and marked for broadcast if its rows, as counted, are within MAX_BROADCAST_KEYS.
+
+    Rows that hold arrays count as many times as ``entries`` says, and once more.
+    """
     df = written(df, name)
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
+    size = df.count() if entries is None else df.agg(F.sum(entries.cast("long") + 1)).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_BROADCAST_KEYS else df
 
 
 @contextmanager

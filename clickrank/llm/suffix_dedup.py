@@ -15,7 +15,9 @@
    with partial sums, so no task ever holds such a group.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes lose nothing; copies of a text are removed
-whole if it has ``length`` bytes (strings are judged on the input); repeated or null ids are ordinary rows.
+whole if it has ``length`` bytes (strings are judged on the input); repeated or null ids are ordinary rows; ties and
+repeated rows get the same answer each; very long texts are scanned whole, by pieces; an empty table gives no rows;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ class SuffixConfig:
     gram: int = 64
     block: int = (1 << 21) - 8  # bytes that are suffix-sorted at a time: names and ranks have 21 bits
 
+    task_bytes: int = 64 << 20  # a task that sorts blocks gets about so much, if that takes more tasks than shuffles have
     piece: int = 1 << 20  # starts of a text that are scanned at a time, to bound memory on long texts
 
     @property
@@ -262,7 +265,8 @@ def repeated_runs(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Dat
             yield settle(block + group)
 
     small = mixed.where(F.col("kinds") <= config.max_contexts).select(*context, "m", "bytes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = small.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // config.task_bytes))
     sorted_ = small.repartition(parts, "fp").sortWithinPartitions("fp").mapInArrow(sort_blocks, f"fp long, x1 long, x2 long, runs {run}")
 
     def strings(batches):
@@ -305,7 +309,7 @@ def _removed(at: list[dict], n: int, whole: bool, length: int) -> list[tuple[int
 def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig(), keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) on demand: one row per row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    runs = written(repeated_runs(docs, config), "suffix-repeats")
+    runs = keys(repeated_runs(docs, config), "suffix-repeats", F.size("at"))
     texts = docs.select("doc_id", *_text_keys(), "text")
     copies = texts.where(F.octet_length("text") >= config.length).groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1")
     copies = keys(copies.select("k1", "k2", F.lit(True).alias("whole")), "suffix-copies")
@@ -332,5 +336,5 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig(), keep_text: boo
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[4], pa.binary())] if keep_text else [])], names)
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    out = texts.join(copies, ["k1", "k2"], "left").join(keys(runs, "suffix-runs"), ["k1", "k2"], "left")
+    out = texts.join(copies, ["k1", "k2"], "left").join(runs, ["k1", "k2"], "left")
     return out.select("doc_id", "text", "at", "whole").mapInArrow(cut, schema)
