@@ -105,22 +105,24 @@ def word_weights(rows: tuple[float, float], with_word: np.ndarray, config: SiteC
     if not all(rows) or not with_word.shape[1]:
         return np.zeros(with_word.shape[1])
     rare = int(rows[1] < rows[0])
-    hits, others = with_word[rare].astype(float), with_word[1 - rare].astype(float)
+    # many words share their counts: each pair of counts is worked out once
+    pairs, word, times = np.unique(with_word[rare] * (int(rows[1 - rare]) + 1) + with_word[1 - rare], return_inverse=True, return_counts=True)
+    hits, others = (x.astype(float) for x in np.divmod(pairs, int(rows[1 - rare]) + 1))
     shifted = np.log(rows[rare] / rows[1 - rare]) + STEPS
     like = -hits[:, None] * np.log1p(np.exp(-shifted)) - others[:, None] * np.log1p(np.exp(shifted))
     like = np.exp(like - like.max(axis=1, keepdims=True))
     prior = np.where(STEPS == 0, 1.0, 1e-3)
     prior /= prior.sum()
-    seen = with_word.sum(axis=0) > 0
-    for _ in range(config.em_rounds if seen.any() else 0):
-        post = like[seen] * prior
-        prior = (post / post.sum(axis=1, keepdims=True)).mean(axis=0)
+    times = times * (hits + others > 0)
+    for _ in range(config.em_rounds if times.any() else 0):
+        post = like * prior
+        prior = times @ (post / post.sum(axis=1, keepdims=True)) / times.sum()
     post = like * prior
     post /= post.sum(axis=1, keepdims=True)
     telling = STEPS >= config.min_odds
     sure = post[:, telling].sum(axis=1) >= config.certainty
     sure &= hits >= max(config.min_rows, config.min_support * rows[rare])
-    return np.where(sure, post @ np.where(telling, STEPS, 0), 0)
+    return np.where(sure, post @ np.where(telling, STEPS, 0), 0)[word]
 
 
 def learn_words(labelled: DataFrame, config: SiteConfig) -> np.ndarray:
@@ -137,15 +139,17 @@ def learn_words(labelled: DataFrame, config: SiteConfig) -> np.ndarray:
                     if m[i] is not None:
                         total[fold * kinds + 2 * k + (m[i] != 0), words] += 1
                         rows[fold * kinds + 2 * k + (m[i] != 0)] += 1
-        for j in range(len(total)):
-            at = np.flatnonzero(total[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, j)), pa.array(np.append(at, -1)),
-                                              pa.array(np.append(total[j, at], rows[j]))], ["kind", "bucket", "n"])
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1)), *[pa.array(np.append(n[at], r)) for n, r in zip(total, rows)]], ["bucket", *cols])
 
-    sums = labelled.select("text", "fold", *LABELS).mapInArrow(run, "kind long, bucket long, n long") \
-        .groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most kinds x folds x (buckets + 1) rows
+    cols = [f"n{j}" for j in range(config.folds * kinds)]
+    sums = labelled.select("text", "fold", *LABELS).mapInArrow(run, ", ".join(["bucket long", *[f"{c} long" for c in cols]])) \
+        .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # at most buckets + 1 rows
     counts = np.zeros((config.folds * kinds, config.buckets + 1), np.int64)  # the last is bucket -1
-    counts[sums["kind"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    for n, c in zip(counts, cols):
+        n[sums["bucket"].to_numpy()] = sums[c].to_numpy()
+    del sums
     counts = counts.reshape(config.folds, len(LABELS), 2, -1)
     weights = np.zeros((config.folds + 1, len(LABELS), config.buckets), np.float32)
     for fold in range(config.folds + 1):
