@@ -89,7 +89,7 @@ def _mix_sql() -> str:
     three = node.format(keys="domain, language, source", weight="1", of="leaves JOIN b2 USING (domain, language)", above="b2.above")
     return f"""
 WITH rows_ AS (
-  SELECT doc_id, coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS source,
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, ''))) AS row_id, coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS source,
          coalesce(['web', 'reference', 'books', 'forums'][CAST(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS HUGEINT) % 4 + 1 AS BIGINT)], 'unknown') AS domain,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n
   FROM documents),
@@ -103,7 +103,7 @@ plan AS (SELECT domain, language, source, tokens, CAST(above // tokens AS BIGINT
   FROM leaves JOIN b3 USING (domain, language, source)),
 last AS (
   SELECT *, sum(n) OVER (PARTITION BY domain, language, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM (SELECT *, md5('42:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, '')))) AS h
+  FROM (SELECT *, md5('42:' || epochs || ':' || row_id) AS h
         FROM rows0 JOIN plan USING (domain, language, source)))
 SELECT doc_id, domain, language, source, e AS epoch, CAST(n AS BIGINT) AS n_tokens
 FROM (SELECT *, unnest(range(0, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS e FROM last)
