@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickrank.operators.als import ALSSettings, fit_grid, gram, recommend_from_model, user_optimality
-from clickrank.operators.blocktopk import BlockSize, masked_top_k
+from clickrank.operators.blocktopk import BlockSize, Lists, masked_top_k
 
 
 def brute(users, items, seen, k):
@@ -45,6 +45,32 @@ def test_masked_top_k(spark, size, batches):
     assert {(r.visitorid, r.rank, r.itemid) for r in got.collect()} == brute(users, items, set(), 5)
 
 
+def test_users_meet_few_of_the_items():
+    rng = np.random.default_rng(9)
+    x, y = rng.random((300, 8)), rng.random((40_000, 8)) * rng.random((40_000, 1))
+    y = y[np.argsort(-(y * y).sum(axis=1))]
+    ids = rng.permutation(40_000).astype(np.int32)
+    held, masked = rng.integers(0, 300, 5000).astype(np.int32), rng.integers(0, 40_000, 5000).astype(np.int32)
+    lists = Lists(np.arange(300, dtype=np.int32), x, held, masked, 10, 64)
+    met = sum(lists.add(ids[s:s + 1000], y[s:s + 1000]) for s in range(0, 40_000, 1000))
+    scores = (x @ y.T).astype(np.float32)
+    column = np.argsort(ids)
+    scores[held, column[masked]] = -np.inf
+    assert all(np.array_equal(lists.item[u], ids[np.lexsort((ids, -scores[u]))[:10]]) for u in range(300))
+    assert met < 0.3 * scores.size  # all products were computed before
+
+
+def test_signed_factors(spark):
+    rng = np.random.default_rng(10)
+    users = {u: rng.integers(-2, 3, 3).astype(float).tolist() for u in range(20)}
+    items = {i: rng.integers(-2, 3, 3).astype(float).tolist() for i in range(50)}
+    seen = {(int(u), int(i)) for u, i in zip(rng.integers(0, 20, 100), rng.integers(0, 50, 100))}
+    frame = lambda of, name: spark.createDataFrame([(k, v) for k, v in of.items()], f"{name} int, features array<float>")
+    pairs = spark.createDataFrame([*seen], "visitorid int, itemid int")
+    got = masked_top_k(frame(users, "visitorid"), frame(items, "itemid"), pairs, 4, BlockSize(100, 5, 3))
+    assert {(r.visitorid, r["rank"], r.itemid) for r in got.collect()} == brute(users, items, seen, 4)
+
+
 def test_nothing_to_rank(spark):
     none = spark.createDataFrame([], "visitorid int, features array<float>")
     items = spark.createDataFrame([(1, [1.0])], "itemid int, features array<float>")
