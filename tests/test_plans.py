@@ -118,3 +118,19 @@ def test_summaries(spark, events, split):
     assert summary.models == "popularity" and summary.fractions == "1.0"
     storage = spark.createDataFrame([("csv", 1.5), ("parquet", 0.5)], "format string, read_time_seconds double")
     assert storage_summary(storage).count() == 2
+
+
+def test_partition_experiment_computes_its_events_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    raw = spark.createDataFrame([(1000 * (60 * u + i), u, "view" if i < 5 else "transaction", i % 6, None) for u in range(6) for i in range(7)],
+                                "timestamp long, visitorid int, event string, itemid int, transactionid string")
+    events = clean_events(raw.mapInArrow(counted, raw.schema))
+    rows = partition_experiment(events, FAST, partitions=(2, 3)).collect()
+    assert computed.value == 42 and [r.input_rows for r in rows] == [42, 42]
+    assert not events.storageLevel.useMemory

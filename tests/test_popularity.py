@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from clickrank.operators import skew
 from clickrank.operators.popularity import first_gaps, popularity_ranks, recommend_popular
 
 
@@ -48,3 +49,25 @@ def test_a_user_who_saw_half_of_the_catalogue(spark):
     assert lists[1] == {1: 1, 2: 3, 3: 5, 4: 7, 5: 9}
     assert [lists[2][r] for r in range(1, 6)] == [4, 6, 8, 10, 12]
     assert 3 not in lists and recommend_popular(train, 5).users.where("visitorid = 3").count() == 1
+
+
+def test_seen_ranks_are_joined_once(spark):
+    train = spark.createDataFrame([(u, i, 1.0) for u in range(5) for i in range(u, 9)], "visitorid int, itemid int, score double")
+    recs = recommend_popular(train, 3)
+    ranks, held = recs.kept  # the joined pairs feed the counts and the filter
+    assert held.storageLevel.useMemory and held.columns == ["visitorid", "cand_rank"]
+    recs.unpersist()
+    assert not held.storageLevel.useMemory
+
+
+def test_no_second_pass_without_a_hot_key(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        passes.add(1)
+        yield from rows
+
+    counts = spark.createDataFrame([(1, 5), (2, 5)], "k int, n long").coalesce(1).mapInArrow(counted, "k int, n long")
+    assert skew.hot_keys(counts, "k", min_rows=100) == [] and passes.value == 1
+    assert skew.hot_keys(counts, "k", share=0.4, min_rows=4) == [1, 2]
+    assert skew.hot_keys(counts.where("k > 9"), "k", min_rows=0) == []
