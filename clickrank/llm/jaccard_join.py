@@ -26,9 +26,8 @@ repeated ids give a row each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -345,35 +344,41 @@ def _heavy_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, boundary:
     def side(x: str, of: DataFrame, *more: str) -> DataFrame:
         return of.select("h", F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
 
-    def drawn(of: DataFrame, seed: int) -> DataFrame:
-        """One member of each list, another one in each list."""
-        draw = F.xxhash64("h", "nid", F.lit(seed))
-        return of.groupBy("h").agg(F.min(draw).alias("draw")).join(of.withColumn("draw", draw), ["h", "draw"])
+    def drawn(of: DataFrame, seeds: Iterable[int]) -> DataFrame:
+        """For each seed, one member of each list, another one in each list; a member that is drawn again counts once."""
+        least = [F.min(F.struct(F.xxhash64("h", "nid", F.lit(s)).alias("draw"), "nid", "n", "pos")) for s in seeds]
+        members = F.array_distinct(F.transform(F.array(*least), lambda x: x.dropFields("draw")))
+        return of.groupBy("h").agg(members.alias("members")).select("h", F.inline("members"))
 
     def stars(members: DataFrame, hubs: DataFrame) -> DataFrame:
         pairs = side("b", members).join(side("a", hubs), "h").where((F.col("a") != F.col("b")) & beyond & alike)
         return _plausible(_ordered(pairs), config)
 
-    def rooted(links: DataFrame, of: DataFrame) -> DataFrame:
-        """The entries of lists with more than one component, with their component and the list's largest."""
+    def components(links: DataFrame) -> DataFrame:
+        """(a, b): each node of ``links`` and its component's root; these links stand for all."""
         comp = written(connected_components(links), "jaccard-components")
-        own = of.join(comp.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        return comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    def rooted(comp: DataFrame, of: DataFrame) -> DataFrame:
+        """The entries of lists with more than one component, with their component and the list's largest."""
+        own = of.join(comp.select(F.col("a").alias("nid"), F.col("b").alias("root")), "nid", "left") \
+            .withColumn("root", F.coalesce("root", "nid"))
         main = own.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(
             F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
         return written(own.join(main.where("roots > 1").select("h", F.col("main.root").alias("main")), "h"), "jaccard-split")
 
     # stars: each list's members against one of them; then, in long lists, those outside the largest
     # component against a few of its members
-    done = _verify(docs, nodes, stars(entries, drawn(entries, 0)), config)
-    links = written(links.union(done.where("linked").select("a", "b")), "jaccard-links")
+    done = _verify(docs, nodes, stars(entries, drawn(entries, [0])), config)
+    links = components(links.union(done.where("linked").select("a", "b")))
     for turn in range(config.star_turns):
         now = rooted(links, entries.where(F.col("m") > config.long_list))
-        inner = now.where("root = main")
-        hubs = reduce(DataFrame.union, [drawn(inner, 1 + turn * config.draws + i) for i in range(config.draws)]).distinct()
+        first = 1 + turn * config.draws
+        hubs = drawn(now.where("root = main"), range(first, first + config.draws))
         pairs = stars(now.where("root <> main"), hubs).join(done.select("a", "b"), ["a", "b"], "left_anti")
         checked = _verify(docs, nodes, pairs, config)
         done = done.union(checked)
-        links = written(links.union(checked.where("linked").select("a", "b")), "jaccard-links")
+        links = components(links.union(checked.where("linked").select("a", "b")))
 
     # the rest: members outside their list's largest component, against the list's other components
     now = rooted(links, entries)

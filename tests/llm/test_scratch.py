@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from clickrank.llm import suffix_dedup
+from clickrank.llm import jaccard_join, suffix_dedup
 
 
 def test_suffix_dedup_broadcasts_nothing_by_count(spark, monkeypatch):
@@ -34,3 +34,32 @@ def test_suffix_dedup_broadcasts_nothing_by_count(spark, monkeypatch):
         kept = bytes(b for b, g in zip(d, gone) if not g)
         want[doc, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()] += 1
     assert got == want
+
+
+def test_jaccard_stars_take_few_jobs(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    near = [[*base[:k], f"x{k}", *base[k + 1:]] for k in range(0, 120, 3)]
+    other = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, *near, *other, *near[:3]])]
+    spark.sparkContext.setJobGroup("jaccard-jobs", "")
+    try:
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("jaccard-jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sets = [{tuple(t.split()[i:i + 3]) for i in range(max(1, len(t.split()) - 2))} if t else set() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert sorted(map(tuple, got.collect())) == [(i, len(s), find(i)) for i, s in enumerate(sets)]
+    assert jobs < 190
