@@ -4,11 +4,54 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
+import pyspark
+import pytest
 from pyspark.sql import functions as F
 
-from clickrank.llm import jaccard_join, suffix_dedup
+from clickrank.llm import jaccard_join, quality_rules, suffix_dedup
+from clickrank.llm.common import settled, shuffles_dropped, written
+
+DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for i in range(blocks.size()) if (f := blocks.apply(i).getName()).startswith("shuffle_")}
+
+
+@pytest.mark.skipif(tuple(map(int, pyspark.__version__.split(".")[:2])) < (4, 1), reason="the setting came with 4.1")
+def test_written_tables_leave_no_shuffle_files(spark):
+    before, was = shuffle_files(spark), spark.conf.get(DROPPED)
+    kept = []
+    for write in (lambda d: written(d, "t"), lambda d: settled(spark, "t", lambda: d)):
+        kept.append(spark.range(1000).withColumn("k", F.col("id") % 50).groupBy("k").count())
+        assert write(kept[-1]).count() == 50
+    end = time.time() + 10
+    # the counts themselves shuffle one row a file; what the writes shuffled is gone though the frames are still held
+    while len(shuffle_files(spark) - before) > 4 and time.time() < end:
+        time.sleep(0.2)
+    assert len(shuffle_files(spark) - before) <= 4
+    assert spark.conf.get(DROPPED) == was
+    with pytest.raises(ZeroDivisionError), shuffles_dropped(spark):
+        raise ZeroDivisionError
+    assert spark.conf.get(DROPPED) == was
+
+
+def test_labels_meet_statistics_not_texts(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(quality_rules, "learn_rules", lambda labelled, config: plans.append(
+        labelled._jdf.queryExecution().executedPlan().toString()) or [])
+    long = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (2, None, "c"), (None, long + " end", "d"), (3, "short", "e")],
+                                 "doc_id long, text string, stats string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 0)], "doc_id long, quality int")
+    out = quality_rules.keep_quality(docs, labels)
+    assert "text#" not in plans[0]
+    assert out.columns == docs.columns
+    assert sorted(r.stats for r in out.collect()) == ["a", "b", "d"]
 
 
 def test_suffix_dedup_broadcasts_nothing_by_count(spark, monkeypatch):
