@@ -14,7 +14,7 @@ what they have and what is left to come falls short.  The threshold is the k-th
 at first the k-th best single or joint maximum among all blocks, which lie in different documents.  Bounds never
 drop a score that is equal to the threshold, so the result is exact.
 
-Bounded state: a block, a task's k best for each query, and one set of queries at a time, cut by their number of
+Bounded state: a block (a few at a time, read and written in row groups of some), a batch of documents, a task's k best for each query, and one set of queries at a time, cut by their number of
 terms.  Queries beyond a set take another pass over the index, never a larger driver.
 
 Defined results: null, empty and termless texts are no documents and ask for nothing; equal rows of the documents
@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_per_batch, written
+from .common import LARGE_ROWS, rows_per_batch, written
 
 #: Terms are runs of ASCII letters and digits and of everything beyond ASCII, A-Z in lower case.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -49,6 +49,7 @@ class SearchConfig:
     block_docs: int = 4096
     set_terms: int = 100_000  # terms of the queries that are answered in one pass
     batch_blocks: int = 8  # blocks that a worker is handed at a time
+    batch_docs: int = 512  # documents that a worker is handed at a time
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -97,8 +98,9 @@ def build_index(docs: DataFrame, config: SearchConfig = SearchConfig()) -> DataF
             yield _block(ids, texts, id_type)
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, f"ids array<{kind}>, n array<long>, terms array<binary>, df array<int>, "
-                                        "docs array<int>, tfs array<long>"), "search-index")
+    index = rows.mapInArrow(run, f"ids array<{kind}>, n array<long>, terms array<binary>, df array<int>, docs array<int>, tfs array<long>")
+    with rows_per_batch(docs.sparkSession, config.batch_docs):
+        return written(index, "search-index", LARGE_ROWS)
 
 
 def corpus_size(index: DataFrame) -> tuple[int, int]:
@@ -214,7 +216,7 @@ def _impact_lists(index: DataFrame, q: _Queries, n_docs: int, n_terms: int) -> D
     names = ["ids", "have", "df", "docs", "impacts", "best", "met", "joint"]
     kind = dict(index.dtypes)["ids"]
     return written(index.mapInArrow(run, f"ids {kind}, have array<int>, df array<int>, docs array<int>, impacts array<long>, "
-                                         "best array<long>, met array<int>, joint array<long>"), "search-lists")
+                                         "best array<long>, met array<int>, joint array<long>"), "search-lists", LARGE_ROWS)
 
 
 def _kth(lists: DataFrame, keys: str, best: str, size: int, k: int) -> np.ndarray:
@@ -332,7 +334,7 @@ def search(index: DataFrame, queries: DataFrame, config: SearchConfig = SearchCo
         with rows_per_batch(spark, config.batch_blocks):
             q = _Queries(rows, weigh)
             lists = _impact_lists(index, q, n_docs, n_terms)
-        floors = q.floors(_kth(lists, "have", "best", len(q.terms), config.k), _kth(lists, "met", "joint", len(q.pairs), config.k))
+            floors = q.floors(_kth(lists, "have", "best", len(q.terms), config.k), _kth(lists, "met", "joint", len(q.pairs), config.k))
         names = spark.createDataFrame([(i, x) for i, x in enumerate(q.ids)], f"q int, item_id {item}")
         with rows_per_batch(spark, config.batch_blocks):
             best = written(_best_of_blocks(lists, q, floors, config.k, kind), "search-best")

@@ -91,3 +91,20 @@ def test_nothing(spark, corpus):
     assert pair_search.search(pair_search.build_index(docs), q).count() == 0
     full = pair_search.build_index(spark.createDataFrame([(1, "w1", "x", 1)], DOCS))
     assert pair_search.search(full, q.where("item_id < 0")).count() == 0
+
+
+def test_large_rows_are_written_in_small_row_groups(spark, monkeypatch):
+    """A task holds some megabytes of its index, not a row group of 100 blocks or more."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000)), "x", 1) for i in range(60)], DOCS).coalesce(1)
+    monkeypatch.setitem(pair_search.LARGE_ROWS, "parquet.block.size", str(1 << 18))
+    index = pair_search.build_index(docs, SearchConfig(block_docs=2))
+    path, = index.inputFiles()
+    sizes = [pq.ParquetFile(path.removeprefix("file://")).metadata.row_group(i).num_rows for i in range(pq.ParquetFile(path.removeprefix("file://")).num_row_groups)]
+    assert sum(sizes) == 30 and max(sizes) <= 8
+    seen = []
+    monkeypatch.setattr(pair_search, "written", lambda df, name, options=None: seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or df)
+    pair_search.build_index(docs, SearchConfig(batch_docs=7))
+    assert seen == ["7"]
