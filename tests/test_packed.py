@@ -94,3 +94,45 @@ def test_blocked_and_hot_histories(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.clickrank.skew.minHotRows")
     assert got == plain_lists(pairs, 5)
+
+
+def test_lists_in_passes(spark, monkeypatch):
+    """Passes over parts of items and users give the same lists, and leave neither shuffle files nor helper tables."""
+    from pathlib import Path
+
+    from clickrank.operators import cooccurrence
+
+    rng = random.Random(7)
+    pairs = [(u, i) for u in range(40) for i in rng.sample(range(50), rng.randint(1, 9))] + [(77, i) for i in range(45)]
+    train = spark.createDataFrame(pairs, "visitorid int, itemid int")
+    monkeypatch.setattr(cooccurrence, "PASS_CANDIDATES", 100)
+    monkeypatch.setattr(cooccurrence, "ROW_CANDIDATES", 2)
+    monkeypatch.setattr(cooccurrence, "BLOCK_ITEMS", 10)
+    sizes = []
+    real = cooccurrence._in_passes
+    monkeypatch.setattr(cooccurrence, "_in_passes", lambda t, name, n, build: sizes.append(n) or real(t, name, n, build))
+    got = recommend_cooccurrence(train, 5)
+    assert {(r.visitorid, r["rank"], r.itemid) for r in got.long.collect()} == plain_lists(pairs, 5)
+    assert len(sizes) == 3 and min(sizes[1:]) > 3
+    left = {p.name.rsplit("-", 1)[0] for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).iterdir()}
+    assert not left & {"cooc-histories", "cooc-neighbours"}
+
+
+def test_a_pair_is_sent_once(spark, monkeypatch):
+    """Supports of all pairs are counted at the lower item: half the candidates, the same rows in both orders."""
+    from clickrank.operators import cooccurrence
+
+    rng = random.Random(8)
+    pairs = [(u, i) for u in range(30) for i in rng.sample(range(-9, 40), rng.randint(1, 12))] + [(99, i) for i in range(30)] + [(5, 3), (5, 3), (5, 4)]
+    train = spark.createDataFrame(pairs, "visitorid int, itemid int")
+    held: dict = {}
+    for u, i in pairs:
+        held.setdefault(u, []).append(i)
+    want = Counter((a, b) for items in held.values() for a in items for b in items if a != b)
+    monkeypatch.setattr(cooccurrence, "BLOCK_ITEMS", 10)
+    sent = []
+    real = cooccurrence.packed_sums
+    monkeypatch.setattr(cooccurrence, "packed_sums", lambda rows, *a: sent.append(sum(len(r.candidates) for r in rows.collect())) or real(rows, *a))
+    got = {(r.itemid, r.candidate_itemid): r.similarity for r in pair_support(train).collect()}
+    assert got == dict(want)
+    assert sent[0] <= (sum(want.values()) + len(pairs)) / 2
