@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickrank.operators.als import ALSSettings, fit_grid, gram, recommend_from_model, user_optimality
-from clickrank.operators.blocktopk import BlockSize, Lists, masked_top_k
+from clickrank.operators.blocktopk import BlockSize, Lists, Seen, masked_top_k
 
 
 def brute(users, items, seen, k):
@@ -113,3 +113,31 @@ def test_optimality(fitted):
         g = a @ x - sum((1 + c) * y[i] for i, c in own)
         assert np.isclose(got[r.id], max(abs(min(v, h / d)) for v, h, d in zip(x, g, np.diag(a))) / max(x), rtol=1e-6)
     assert max(got.values()) > 1e-3
+
+
+def test_a_worker_holds_four_bytes_for_a_seen_pair():
+    """Batches of pairs go once their items are copied, and blocks follow the pairs too."""
+    import tracemalloc
+
+    ids = np.arange(0, 2000, 2, dtype=np.int32)
+    held = np.sort(np.random.default_rng(3).integers(0, 2000, 1_000_000)).astype(np.int32)
+    masked = np.arange(1_000_000, dtype=np.int32)
+    tracemalloc.start()
+    seen = Seen(ids)
+    for s in range(0, len(held), 10_000):
+        seen.add(held[s:s + 10_000], masked[s:s + 10_000])
+    lists = Lists(ids, np.ones((1000, 4), np.float32), held[:0], masked[:0], 5, 64, seen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    known = held % 2 == 0
+    assert np.array_equal(lists.masked, masked[known]) and np.array_equal(np.diff(lists.first), np.bincount(held[known] // 2, minlength=1000))
+    assert peak < 9 * known.sum()  # once in parts, once as a whole
+
+
+def test_blocks_follow_the_seen_pairs(spark):
+    users = spark.createDataFrame([(u, [1.0, float(u)]) for u in range(20)], "visitorid int, features array<float>")
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "itemid int, features array<float>")
+    seen = spark.createDataFrame([(u, i) for u in range(20) for i in range(10)], "visitorid int, itemid int")
+    one, many = (masked_top_k(users, items, seen, 4, size) for size in (BlockSize(), BlockSize(pairs=50)))
+    assert (one.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (1, 4)
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in many.collect()}
